@@ -17,8 +17,10 @@ are counted over all documents.
 
 Large groups of near copies don't become all pairs: a first pass verifies every member of
 a bucket against the bucket's most central group (the one whose shared shingle comes
-earliest), and the second pass takes only pairs whose ends aren't yet in one component.
-Components come out as if all pairs had been verified.
+earliest), and the second pass takes only pairs whose ends aren't yet in one component and
+whose parity signatures (SIGNATURE bits; each shingle flips one) differ in no more bits than
+linked sets may differ in shingles.  Both leave out pairs that can't matter, and components
+come out as if all pairs had been verified.
 
 Defined results: null or blank text has an empty set and no link; repeated rows count as
 copies; a repeated doc_id with different texts gives a node per text; an empty table gives
@@ -40,6 +42,9 @@ from cueflow.llm.shared import connected_components, stored
 
 #: The pool's part of the fingerprint range, as a multiple of (1 - threshold).
 POOL = 1.6
+#: Bits of a parity signature, and the 64-bit words that hold them.
+SIGNATURE = 512
+WORDS = SIGNATURE // 64
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -79,7 +84,7 @@ def _sketch(k: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in wordhash.chunks(batches):
-            sizes, nodes, tokens, pools, ends = [], [], [], [], [0]
+            sizes, nodes, tokens, pools, parities, ends = [], [], [], [], [], [0]
             for values in shingle_sets(data, offsets, k):
                 n = len(values)
                 sizes.append(n)
@@ -88,10 +93,12 @@ def _sketch(k: int, percent: int):
                 keep = max(pools[-1], prefix_length(n, percent)) if n >= least else 0
                 tokens.append(values[:keep] ^ _FLIP)
                 ends.append(ends[-1] + keep)
+                flips = np.bincount((values & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE) & 1
+                parities.append(np.packbits(flips.astype(np.uint8)).view(np.int64))
             flat = np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(pools, pa.int64()), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                names=["doc_id", "text_hash", "n_shingles", "n_pool", "node", "tokens"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(pools, pa.int64()), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * WORDS, pa.int32()), pa.array(np.concatenate(parities) if parities else np.zeros(0, np.int64)))],
+                names=["doc_id", "text_hash", "n_shingles", "n_pool", "node", "tokens", "parity"],
             )
 
     return run
@@ -136,6 +143,20 @@ def _may_link(percent: int) -> Column:
     )
 
 
+def _near_parity(percent: int) -> Column:
+    """Linked sets differ in no more shingles than their sizes allow, so in no more bits.
+
+    A group knows the bits that all its members agree in (all_set = any_set).
+    """
+    differing = " + ".join(f"bit_count((any_set[{i}] ^ any_set2[{i}]) & ~(all_set[{i}] ^ any_set[{i}]) & ~(all_set2[{i}] ^ any_set2[{i}]))" for i in range(WORDS))
+    return F.expr(f"{differing} <= n + m - 2 * (((n + m) * {percent} + {99 + percent}) div {100 + percent})")
+
+
+def _renamed(df: DataFrame, **names: str) -> DataFrame:
+    """Only the named columns, under new names."""
+    return df.select(*[F.col(old).alias(new) for old, new in names.items()])
+
+
 def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
     """node, n, p (length of the prefix), prefix: its shingles of more than one class, with positions."""
     tokens = classes.select("node", "n_pool", F.posexplode("tokens").alias("at", "token"))
@@ -164,12 +185,12 @@ def ngram_links(documents: DataFrame, k: int = 3, percent: int = 90) -> tuple[Da
     Nodes that link with no other node have no row in the components.
     """
     source = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    schema = "doc_id long, text_hash long, n_shingles long, n_pool long, node long, tokens array<long>"
+    schema = "doc_id long, text_hash long, n_shingles long, n_pool long, node long, tokens array<long>, parity array<long>"
     sketch = stored(source.mapInArrow(_sketch(k, percent), schema), "sketch")
     nodes = sketch.select("doc_id", "text_hash", "n_shingles", "node")
     classes = stored(
         sketch.where(F.size("tokens") > 0).groupBy("node").agg(
-            F.first("n_shingles").alias("n"), F.first("n_pool").alias("n_pool"), F.first("tokens").alias("tokens"), F.min(F.struct("doc_id", "text_hash")).alias("copy")
+            F.first("n_shingles").alias("n"), F.first("n_pool").alias("n_pool"), F.first("tokens").alias("tokens"), F.first("parity").alias("parity"), F.min(F.struct("doc_id", "text_hash")).alias("copy")
         ),
         "classes",
     )
@@ -198,18 +219,21 @@ def ngram_links(documents: DataFrame, k: int = 3, percent: int = 90) -> tuple[Da
 
     # Second pass: only what isn't in one component yet.
     found = connected_components(links)
-    state = stored(members.join(found, "node", "left").select("g", "node", F.coalesce("root", "node").alias("root")), "state")
-    mixed = state.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    apart = postings.join(mixed, "g")
+    state = members.join(found, "node", "left").join(classes.select("node", "parity"), "node")
+    state = stored(state.select("g", "node", "n", F.coalesce("root", "node").alias("root"), "parity"), "state")
+    bits = lambda f: F.array(*[f(F.col("parity")[i]) for i in range(WORDS)])
+    mixed = stored(state.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"), bits(F.bit_and).alias("all_set"), bits(F.bit_or).alias("any_set")), "mixed")
+    apart = postings.join(mixed.select("g", "low", "high"), "g")
     unsettled = apart.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("token")
-    apart = stored(apart.join(unsettled, "token"), "apart")
-    other = apart.select("token", F.col("g").alias("h"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    met = apart.join(other, "token").where("g < h and not (low = high and low2 = high2 and low = low2)").where(_may_link(percent))
+    apart = stored(apart.join(unsettled, "token").join(mixed.select("g", "all_set", "any_set"), "g"), "apart")
+    other = _renamed(apart, token="token", g="h", n="m", pos="qos", low="low2", high="high2", all_set="all_set2", any_set="any_set2")
+    met = apart.join(other, "token").where("g < h and not (low = high and low2 = high2 and low = low2)").where(_may_link(percent)).where(_near_parity(percent))
     split = mixed.where("low <> high").select("g", F.col("g").alias("h"))
-    left, right = state.select("g", F.col("node").alias("x"), F.col("root").alias("rx")), state.select(F.col("g").alias("h"), F.col("node").alias("y"), F.col("root").alias("ry"))
+    left = state.select("g", F.col("node").alias("x"), F.col("root").alias("rx"), "n", F.col("parity").alias("all_set"), F.col("parity").alias("any_set"))
+    right = _renamed(left, g="h", x="y", rx="ry", n="m", all_set="all_set2", any_set="any_set2")
     rest = (
         met.select("g", "h").distinct().unionByName(split).join(left, "g").join(right, "h")
-        .where("rx <> ry and (g <> h or x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        .where("rx <> ry and (g <> h or x < y)").where(_near_parity(percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     )
     more = _verified(rest.join(star, ["a", "b"], "left_anti"), sets, percent, "more")
     return nodes, connected_components(links.unionByName(more))
