@@ -255,3 +255,18 @@ def labelled_nodes(documents: DataFrame, k: int = 3, percent: int = 90) -> DataF
 def ngram_components(documents: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``documents``."""
     return labelled_nodes(documents, k, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each_component(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``documents`` without all but the first row of each component (smallest doc_id, then text).
+
+    Documents without words all stay.
+    """
+    labelled = labelled_nodes(documents, k, percent)
+    kept = labelled.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("first.*")
+    kept = kept.unionByName(labelled.where("n_shingles = 0").select("doc_id", "text_hash").distinct())
+    kept = stored(_renamed(kept, doc_id="_kept_id", text_hash="_kept_hash"), "kept")
+    same = (F.xxhash64("text") == F.col("_kept_hash")) & F.col("doc_id").eqNullSafe(F.col("_kept_id"))
+    found = documents.join(kept, same, "left_semi")
+    repeated = labelled.where("n_shingles > 0").groupBy("doc_id", "text_hash").count().where("count > 1")
+    return found if repeated.isEmpty() else found.dropDuplicates(["doc_id", "text"])
