@@ -52,8 +52,9 @@ def cluster_utterances(embeddings: DataFrame, max_k: int = MAX_SPEAKERS) -> Data
             raise ValueError(f"{len(frame)} utterances in a clip; use cluster_corpus")
         unit = _unit(np.vstack(frame["embedding"].to_numpy()).astype(float))
         distance = 1 - unit @ unit.T
-        parts = [frame[["video_id", "clip_index", "utt_id"]].assign(k=k, cluster_id=_merges(distance, k)) for k in range(2, min(max_k, len(frame) - 1) + 1)]
-        return pd.concat(parts) if parts else pd.DataFrame({"video_id": [], "clip_index": [], "utt_id": [], "k": [], "cluster_id": []})
+        ids = frame[["video_id", "clip_index", "utt_id"]]
+        parts = [ids.assign(k=k, cluster_id=_merges(distance, k)) for k in range(2, min(max_k, len(frame) - 1) + 1)]
+        return pd.concat(parts) if parts else ids.iloc[:0].assign(k=0, cluster_id=0)
 
     rows = embeddings.select("video_id", F.col("clip_index").cast("int").alias("clip_index"), F.col("utt_id").cast("long").alias("utt_id"), "embedding")
     return rows.groupBy(*CLIP).applyInPandas(one, "video_id string, clip_index int, utt_id long, k int, cluster_id int")
