@@ -12,7 +12,7 @@ from cueflow.operators.joins import assign_segment
 from cueflow.plans import jobs as C
 from cueflow.plans.model import Model, sql
 from cueflow.queries.registry import query
-from cueflow.queries.relational import _J1, _PAIRS, _shifted, notes
+from cueflow.queries.relational import _FLAGS, _J1, _MERGED, _PAIRS, _PICKS, _shifted, notes
 
 CC = ["video_id", "clip_index", "cue_ord"]
 _WORDS = r"regexp_extract_all({0}, '[^\s]+')"
@@ -246,7 +246,14 @@ def c4(m: Model) -> DataFrame:
     return C.speaker_segments(frames, m.clip_embeddings().drop("cluster_id"), pitch).select("video_id", "seg_idx", "start_ms", "end_ms", "speaker_label", "gender")
 
 
-@query("c5_run_summary")
+_SIZE = """CASE WHEN z IS NULL THEN '-' WHEN z < 1024 THEN z || ' B' WHEN z < 1048576 THEN printf('%.1f KB', round_even(z / 1024.0 * 10, 0) / 10) WHEN z < 1073741824 THEN printf('%.1f MB', round_even(z / 1048576.0 * 10, 0) / 10)
+    WHEN z < 1099511627776 THEN printf('%.1f GB', round_even(z / 1073741824.0 * 10, 0) / 10) ELSE printf('%.1f TB', round_even(z / 1099511627776.0 * 10, 0) / 10) END"""
+
+
+@query("c5_run_summary", sql("results", _MERGED, """listed AS (SELECT video_id, clip_index, coalesce(output_filename, printf('clip_%02d.mp4', clip_index)) AS file, actual_duration_ms AS d, file_size_bytes AS z, status, CASE WHEN clip_index % 2 = 0 THEN '[EN] line ' || clip_index ELSE '—' END AS transcript
+    FROM results WHERE NOT (status = 'Done' AND video_id IN (SELECT video_id FROM merged)) UNION ALL SELECT video_id, 0, 'merged.mp4', actual_duration_ms, file_size_bytes, 'Done', '—' FROM merged)""",
+    body=f"""SELECT video_id, clip_index, file, CASE WHEN t IS NULL THEN '-' WHEN t >= 3600 THEN (t // 3600) || ':' || lpad((t // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((t % 60)::VARCHAR, 2, '0') ELSE lpad((t // 60)::VARCHAR, 2, '0') || ':' || lpad((t % 60)::VARCHAR, 2, '0') END AS duration,
+    {_SIZE} AS size, CASE WHEN status = 'Done' THEN '✓ Done' ELSE '✗ Failed' END AS status_label, transcript FROM (SELECT *, round_even(d / 1000.0, 0)::BIGINT AS t FROM listed)"""))
 def c5(m: Model) -> DataFrame:
     results = m.results()
     excerpts = results.select("video_id", "clip_index", F.when(F.col("clip_index") % 2 == 0, F.format_string("line %d", "clip_index")).otherwise("").alias("excerpt"))
@@ -255,9 +262,12 @@ def c5(m: Model) -> DataFrame:
     return C.run_summary(results, excerpts, tracks, none, none, keep_clips=False)[0]
 
 
-@query("c6_select_sources")
+@query("c6_select_sources", sql("formats", "attempts", _PICKS, _FLAGS, "info AS (SELECT l_orderkey::VARCHAR AS video_id, (min(l_suppkey) * 100)::INT AS height, max(line) AS n FROM lines WHERE line <= 7 GROUP BY 1)",
+    body="""SELECT i.video_id, CASE WHEN n >= 3 THEN 'fr' ELSE 'vi' END AS language, CASE WHEN n >= 3 THEN '3' ELSE '1' END AS url, CASE WHEN v1 IS NOT NULL AND a1 IS NOT NULL THEN 'h264' WHEN v2 IS NOT NULL AND a2 IS NOT NULL THEN 'any' WHEN p1 IS NOT NULL THEN 'progressive_mp4' WHEN p2 IS NOT NULL THEN 'progressive' WHEN p3 IS NOT NULL THEN 'best' END AS rule,
+    CASE WHEN v1 IS NOT NULL AND a1 IS NOT NULL THEN v1 WHEN v2 IS NOT NULL AND a2 IS NOT NULL THEN v2 ELSE coalesce(p1, p2, p3) END AS video_format, CASE WHEN drm THEN 'drm' WHEN tv_drm THEN 'tv_false_positive' WHEN height <= 360 THEN 'cap_360' WHEN height < 720 THEN 'lower_than_requested' ELSE 'ok' END AS diagnosis
+    FROM info i LEFT JOIN picks p ON p.video_id = i.video_id LEFT JOIN flags f ON f.video_id = i.video_id"""))
 def c6(m: Model) -> DataFrame:
-    entry = F.struct(F.lit("vtt").alias("ext"), F.col("l_linenumber").cast("string").alias("url"))
+    entry = F.struct(F.lit("vtt").alias("ext"), F.col("line").cast("string").alias("url"))
     lang = F.element_at(F.array(*[F.lit(x) for x in ("vi", "en", "fr", "de", "ja", "ko", "it")]), F.col("line"))
     lists = F.map_from_entries(F.collect_list(F.struct(lang, F.array(entry))))
     info = m.lines().where("line <= 7").groupBy(F.col("l_orderkey").cast("string").alias("id")).agg(F.lit("fr").alias("language"), (F.min("l_suppkey") * 100).cast("int").alias("height"), lists.alias("subtitles"), lists.alias("automatic_captions"))
@@ -266,7 +276,7 @@ def c6(m: Model) -> DataFrame:
     return chosen.join(parts["diagnosis"].select("video_id", "diagnosis"), "video_id", "left")
 
 
-@query("h3_assigned_segments_per_clip")
+@query("h3_assigned_segments_per_clip", sql("cues", "segments", body="SELECT video_id, count(*) AS cues, count(DISTINCT CASE WHEN end_ms > start_ms THEN seg_idx END) AS segments FROM runs GROUP BY 1"))
 def h3(m: Model) -> DataFrame:
     from cueflow.hooks import per_clip
 

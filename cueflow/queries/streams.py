@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from cueflow.plans.model import Model, sql
 from cueflow.queries.registry import query
+from cueflow.queries.sequential import _W3_CUT, _sparse, _windows
 from cueflow.sources.readers import read_status_stream
 from cueflow.streaming import jobs as X
 
+EPOCH_MS = 1_704_067_200_000
 EVENTS = "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE, props STRING"
 
 
@@ -98,9 +100,7 @@ def x5(m: Model) -> DataFrame:
 
 def _frames(m: Model) -> DataFrame:
     """Frames of the model at 30 ms steps of event time."""
-    from cueflow.queries.sequential import _sparse
-
-    ts = F.timestamp_millis(F.lit(1_704_067_200_000) + F.col("frame_no") * 30)
+    ts = F.timestamp_millis(F.lit(EPOCH_MS) + F.col("frame_no") * 30)
     return _sparse(m).select(ts.alias("ts"), F.col("video_id").cast("long").alias("key"), "voiced")
 
 
@@ -110,14 +110,16 @@ def _frames(m: Model) -> DataFrame:
     body="SELECT video_id AS key, s AS start_ms, e AS end_ms, frames FROM islands WHERE e - s >= 350"))
 def x6(m: Model) -> DataFrame:
     out = finished(m, X.speech_sessions(_closing(m, _frames(m))), "append").where("key >= 0")
-    at = lambda c: F.unix_millis(c) - 1_704_067_200_000
+    at = lambda c: F.unix_millis(c) - EPOCH_MS
     return out.select("key", at("start_ts").alias("start_ms"), at("end_ts").alias("end_ms"), "frames")
 
 
-@query("x7_stream_windows")
+@query("x7_stream_windows", sql("cues", *_windows("cues", _W3_CUT), recursive=True, body="SELECT video_id AS key, min(cue_ord)::BIGINT AS first_ord, max(cue_ord)::BIGINT AS last_ord, count(*) AS n_cues, string_agg(q.text, ' ' ORDER BY cue_ord) AS text FROM win JOIN seq q USING (video_id, cue_ord) GROUP BY video_id, window_id"))
 def x7(m: Model) -> DataFrame:
     X.use_state_store(m.spark)
-    rows = m.cues().where(F.col("text").rlike(r"\S")).select(F.timestamp_millis("start_ms").alias("ts"), F.col("video_id").alias("key"), F.col("cue_ord").cast("long").alias("cue_ord"), "start_ms", "end_ms", "text")
+    # Event time starts well after 1970: rows at the first watermark would count as late.
+    start, end = F.col("start_ms") + EPOCH_MS, F.col("end_ms") + EPOCH_MS
+    rows = m.cues().where(F.col("text").rlike(r"\S")).select(F.timestamp_millis(start).alias("ts"), F.col("video_id").alias("key"), F.col("cue_ord").cast("long").alias("cue_ord"), start.alias("start_ms"), end.alias("end_ms"), "text")
     return finished(m, X.stream_windows(_closing(m, rows)), "append").where("key <> '-1'").select("key", "first_ord", "last_ord", "n_cues", "text")
 
 
