@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,13 +25,40 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, cutting its lineage."""
+#: Paths of stored tables, a list for each open ``scratch``.
+_open: list[list[str]] = []
+
+
+def stored(df: DataFrame, name: str, result: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back, cutting its lineage.
+
+    Inside ``scratch`` the table goes when the block ends; a ``result`` belongs to the block
+    around it, or stays where there is none.
+    """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/cueflow-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if len(_open) > result:
+        _open[-1 - result].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables stored inside, but for results, when the block ends.
+
+    What the block returns must read results only.
+    """
+    paths: list[str] = []
+    _open.append(paths)
+    try:
+        yield
+    finally:
+        _open.remove(paths)
+        for path in paths:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def words_pattern() -> str:
     return r"[^\x20\x09-\x0D]+"
 
@@ -48,7 +77,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     size.  Every round is written to the shared folder; nothing goes through the driver but
     the question whether edges remain.
     """
-    edges = edges.select("a", "b").where("a <> b")
+    with scratch(edges.sparkSession):
+        return stored(_components(edges.select("a", "b").where("a <> b")), "components", result=True)
+
+
+def _components(edges: DataFrame) -> DataFrame:
     labels = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
