@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueflow.llm.draws import communication_matrix, permuted
-from cueflow.llm.shared import stored, word_count
+from cueflow.llm.shared import scratch, stored, word_count
 
 WEIGHTS, SHARE, REPEAT = (3, 1, 2), 1.5, 2
 BLOCK, N_SHARDS, GROUP_ROWS = 32, 24, 2_000
@@ -104,15 +104,17 @@ def drawn_blocks(targets: DataFrame, seed: int = 23, n_shards: int = N_SHARDS, b
 
 def taken_words(rows: DataFrame, seed: int = 23, block: int = BLOCK) -> DataFrame:
     """rows(source, size, _key, ...) with source_size, target and taken."""
-    placed = stored(packed(rows), "packed")
-    targets = placed.select("sid", "source_size", "target").distinct()
-    slots = stored(drawn_blocks(targets, seed, block=block).groupBy("sid", "block").agg(F.count("*").alias("times")), "slots")
-    pieces = placed.where("size > 0").select("sid", "at", "size", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")).alias("block"))
-    overlap = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("at"), F.col("block") * block)
-    # Within a source, the first word's offset names a document of positive size.
-    taken = pieces.join(slots, ["sid", "block"]).groupBy("sid", "at").agg(F.sum(overlap * F.col("times")).alias("words"))
-    got = taken.withColumn("_some", F.lit(True))
-    return placed.withColumn("_some", F.col("size") > 0).join(got, ["sid", "at", "_some"], "left").withColumn("taken", F.coalesce("words", F.lit(0)).cast("long")).drop("_some", "words", "at", "sid")
+    with scratch(rows.sparkSession):
+        placed = stored(packed(rows), "packed")
+        targets = placed.select("sid", "source_size", "target").distinct()
+        slots = stored(drawn_blocks(targets, seed, block=block).groupBy("sid", "block").agg(F.count("*").alias("times")), "slots")
+        pieces = placed.where("size > 0").select("sid", "at", "size", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")).alias("block"))
+        overlap = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("at"), F.col("block") * block)
+        # Within a source, the first word's offset names a document of positive size.
+        taken = pieces.join(slots, ["sid", "block"]).groupBy("sid", "at").agg(F.sum(overlap * F.col("times")).alias("words"))
+        got = taken.withColumn("_some", F.lit(True))
+        out = placed.withColumn("_some", F.col("size") > 0).join(got, ["sid", "at", "_some"], "left").withColumn("taken", F.coalesce("words", F.lit(0)).cast("long")).drop("_some", "words", "at", "sid")
+        return stored(out, "taken", result=True)
 
 
 def mixture(documents: DataFrame, seed: int = 23, block: int = BLOCK) -> DataFrame:

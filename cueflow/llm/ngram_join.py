@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueflow.llm import wordhash
-from cueflow.llm.shared import connected_components, stored
+from cueflow.llm.shared import connected_components, scratch, stored
 
 #: The pool's part of the fingerprint range, as a multiple of (1 - threshold).
 POOL = 1.6
@@ -179,25 +179,29 @@ def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _ranked_classes(source: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows' nodes; the classes of equal sets (node, parity, copy); and their prefixes."""
+    schema = "doc_id long, text_hash long, n_shingles long, n_pool long, node long, tokens array<long>, parity array<long>"
+    with scratch(source.sparkSession):
+        sketch = stored(source.mapInArrow(_sketch(k, percent), schema), "sketch")
+        nodes = stored(sketch.select("doc_id", "text_hash", "n_shingles", "node"), "nodes", result=True)
+        copy = F.min(F.struct("doc_id", "text_hash")).alias("copy")
+        firsts = [F.first(c).alias(a) for c, a in (("n_shingles", "n"), ("n_pool", "n_pool"), ("tokens", "tokens"), ("parity", "parity"))]
+        whole = stored(sketch.where(F.size("tokens") > 0).groupBy("node").agg(*firsts, copy), "classes")
+        # Groups have the same size and the same prefix, none of whose shingles is the node's own.
+        alike = F.when(F.size("prefix") == F.col("p"), F.xxhash64("n", "prefix")).otherwise(F.col("node"))
+        ranked = stored(_prefixes(whole, percent).withColumn("alike", alike), "prefixes", result=True)
+        classes = stored(whole.join(ranked.select("node"), "node", "left_semi").select("node", "parity", "copy"), "class-copies", result=True)
+        return nodes, classes, ranked
+
+
 def ngram_links(documents: DataFrame, k: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
     """Nodes (doc_id, text_hash, n_shingles, node) of all documents, and components (node, root).
 
     Nodes that link with no other node have no row in the components.
     """
     source = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    schema = "doc_id long, text_hash long, n_shingles long, n_pool long, node long, tokens array<long>, parity array<long>"
-    sketch = stored(source.mapInArrow(_sketch(k, percent), schema), "sketch")
-    nodes = sketch.select("doc_id", "text_hash", "n_shingles", "node")
-    classes = stored(
-        sketch.where(F.size("tokens") > 0).groupBy("node").agg(
-            F.first("n_shingles").alias("n"), F.first("n_pool").alias("n_pool"), F.first("tokens").alias("tokens"), F.first("parity").alias("parity"), F.min(F.struct("doc_id", "text_hash")).alias("copy")
-        ),
-        "classes",
-    )
-
-    # Groups: the same size and the same prefix, none of whose shingles is the node's own.
-    ranked = _prefixes(classes, percent)
-    ranked = stored(ranked.withColumn("alike", F.when(F.size("prefix") == F.col("p"), F.xxhash64("n", "prefix")).otherwise(F.col("node"))), "prefixes")
+    nodes, classes, ranked = _ranked_classes(source, k, percent)
     first = ranked.groupBy("alike").agg(F.min("node").alias("g"))
     members = stored(ranked.select("alike", "node", "n").join(first, "alike").select("g", "node", "n"), "members")
     groups = ranked.join(members.where("g = node").select("node"), "node", "left_semi")
@@ -240,16 +244,18 @@ def ngram_links(documents: DataFrame, k: int = 3, percent: int = 90) -> tuple[Da
 
 
 def labelled_nodes(documents: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, text_hash, n_shingles, node and component_id (smallest doc_id reachable) of every row."""
-    nodes, found = ngram_links(documents, k, percent)
-    worded = nodes.where("n_shingles > 0")
-    classes = worded.groupBy("node").agg(F.min("doc_id").alias("least")).join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = stored(classes, "class-roots")
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = classes.join(least, "root").select("node", "root", "component_id")
-    # Documents without words are linked with nothing.
-    blank = nodes.where("n_shingles = 0").select("*", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"))
-    return worded.join(final, "node").select(*nodes.columns, "root", "component_id").unionByName(blank)
+    """doc_id, text_hash, n_shingles, node, root and component_id (smallest doc_id reachable) of every row."""
+    with scratch(documents.sparkSession):
+        nodes, found = ngram_links(documents, k, percent)
+        worded = nodes.where("n_shingles > 0")
+        classes = worded.groupBy("node").agg(F.min("doc_id").alias("least")).join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        classes = stored(classes, "class-roots")
+        least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+        final = classes.join(least, "root").select("node", "root", "component_id")
+        # Documents without words are linked with nothing.
+        blank = nodes.where("n_shingles = 0").select("*", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"))
+        labelled = worded.join(final, "node").select(*nodes.columns, "root", "component_id").unionByName(blank)
+        return stored(labelled, "labelled", result=True)
 
 
 def ngram_components(documents: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -262,11 +268,13 @@ def one_of_each_component(documents: DataFrame, k: int = 5, percent: int = 80) -
 
     Documents without words all stay.
     """
-    labelled = labelled_nodes(documents, k, percent)
-    kept = labelled.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("first.*")
-    kept = kept.unionByName(labelled.where("n_shingles = 0").select("doc_id", "text_hash").distinct())
-    kept = stored(_renamed(kept, doc_id="_kept_id", text_hash="_kept_hash"), "kept")
+    with scratch(documents.sparkSession):
+        labelled = labelled_nodes(documents, k, percent)
+        worded = labelled.where("n_shingles > 0")
+        repeated = not worded.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty()
+        kept = worded.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("first.*")
+        kept = kept.unionByName(labelled.where("n_shingles = 0").select("doc_id", "text_hash").distinct())
+        kept = stored(_renamed(kept, doc_id="_kept_id", text_hash="_kept_hash"), "kept", result=True)
     same = (F.xxhash64("text") == F.col("_kept_hash")) & F.col("doc_id").eqNullSafe(F.col("_kept_id"))
     found = documents.join(kept, same, "left_semi")
-    repeated = labelled.where("n_shingles > 0").groupBy("doc_id", "text_hash").count().where("count > 1")
-    return found if repeated.isEmpty() else found.dropDuplicates(["doc_id", "text"])
+    return found.dropDuplicates(["doc_id", "text"]) if repeated else found

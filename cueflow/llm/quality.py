@@ -28,9 +28,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cueflow.llm import wordhash
-from cueflow.llm.shared import stored
+from cueflow.llm.shared import scratch, stored
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 DIM = 5
@@ -105,9 +106,9 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def measured(documents: DataFrame) -> DataFrame:
-    """doc_id, lang, source, text_hash and the statistics of every row."""
-    source = documents.select("doc_id", "lang", "source", F.xxhash64("text").alias("text_hash"), "text")
-    return source.mapInArrow(_measure, "doc_id long, lang string, source string, text_hash long, " + ", ".join(f"{s} long" for s in STATS))
+    """doc_id, lang, source and the statistics of every row."""
+    source = documents.select("doc_id", "lang", "source", "text")
+    return source.mapInArrow(_measure, "doc_id long, lang string, source string, " + ", ".join(f"{s} long" for s in STATS))
 
 
 def transformed() -> list[Column]:
@@ -198,11 +199,8 @@ def robust_cells(rows: DataFrame) -> DataFrame:
     return stored(_scales(rows, cells), "mcd")
 
 
-def judged(documents: DataFrame) -> DataFrame:
-    """Statistics, base_failed, distance and kept of every row of ``documents``."""
-    rows = stored(measured(documents), "statistics")
-    rows = rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    # The cell: language and source, or what the small ones share.
+def _cells(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Which cell each language and source (l, s) belongs to, and the estimates of the cells."""
     sizes = stored(rows.where("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("c")), "cell-sizes")
     own = F.col("c") >= MIN_ROWS
     rest = sizes.where(~own).groupBy("lang").agg(F.sum("c").alias("lc"))
@@ -211,21 +209,45 @@ def judged(documents: DataFrame) -> DataFrame:
     keyed = keyed.select(F.col("lang").alias("l"), F.col("source").alias("s"), cell.alias("cell"), "c")
     totals = keyed.groupBy("cell").agg(F.sum("c").alias("total"))
     keyed = stored(keyed.join(totals, "cell").where(F.col("total") >= MIN_ROWS).select("l", "s", "cell"), "cells")
-    vectors = rows.select("*", *[x.alias(n) for x, n in zip(transformed(), X, strict=True)]).join(keyed, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left").drop("l", "s")
-    cells = robust_cells(vectors.where("not base_failed and cell is not null").select("cell", *X))
-    distance = F.when(~F.col("base_failed"), _distance() * F.col("factor"))
-    return (
-        vectors.join(cells, "cell", "left").withColumn("distance", distance)
-        .withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF))
-        .select("doc_id", "lang", "source", "text_hash", *STATS, "base_failed", "distance", "kept")
-    )
+    vectors = rows.where("not base_failed").join(keyed, _same_cell()).select("cell", *[x.alias(n) for x, n in zip(transformed(), X, strict=True)])
+    return keyed, robust_cells(vectors)
+
+
+def _same_cell() -> Column:
+    return F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))
+
+
+BASE_FAILED = "n_words < 10 or 100 * n_repeat_words > 20 * n_words"
+
+
+def _estimates_by_source(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored statistics of all rows, and (l, s, mean, inverse, factor) of each language and source."""
+    with scratch(documents.sparkSession):
+        rows = stored(measured(documents), "statistics", result=True)
+        keyed, cells = _cells(rows.withColumn("base_failed", F.expr(BASE_FAILED)))
+        return rows, stored(keyed.join(cells, "cell").select("l", "s", "mean", "inverse", "factor"), "estimates", result=True)
+
+
+def _verdict(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """Rows with statistics, and base_failed, distance and kept."""
+    vectors = rows.withColumn("base_failed", F.expr(BASE_FAILED)).withColumns({n: x for x, n in zip(transformed(), X, strict=True)})
+    scored = vectors.join(estimates, _same_cell(), "left").withColumn("distance", F.when(~F.col("base_failed"), _distance() * F.col("factor")))
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF)).drop("l", "s", "mean", "inverse", "factor", *X)
+
+
+def judged(documents: DataFrame) -> DataFrame:
+    """doc_id, statistics, base_failed, distance and kept of every row of ``documents``."""
+    rows, estimates = _estimates_by_source(documents)
+    return _verdict(rows, estimates).select("doc_id", "lang", "source", *STATS, "base_failed", "distance", "kept")
 
 
 def quality_filter(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that are kept, with all their columns."""
-    keys = ("doc_id", "lang", "source", "text_hash")
-    rejected = stored(judged(documents).where("not kept").select(*[F.col(c).alias(f"_rejected_{c}") for c in keys]).distinct(), "rejected")
-    same = F.xxhash64("text") == F.col("_rejected_text_hash")
-    for c in keys[:3]:
-        same &= F.col(c).eqNullSafe(F.col(f"_rejected_{c}"))
-    return documents.join(rejected, same, "left_anti")
+    """The rows of ``documents`` that are kept, with all their columns.
+
+    Statistics are taken again beside each text, which costs less than a shuffle of the texts.
+    """
+    _, estimates = _estimates_by_source(documents)
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    beside = documents.select(row, "lang", "source", "text")
+    schema = T.StructType([f for f in beside.schema if f.name != "text"] + [T.StructField(s, T.LongType()) for s in STATS])
+    return _verdict(beside.mapInArrow(_measure, schema), estimates).where("kept").select("row.*")
