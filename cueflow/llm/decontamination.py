@@ -3,11 +3,15 @@
 Words lose their ASCII punctuation and ASCII capitals; numbers, names and units become typed
 placeholders.  A template window is a run of WINDOW such words with at least LITERALS that
 are no placeholders; items without a window are too short to tell from chance and match
-nothing.  Documents' windows are hash-joined with the items' windows.  For each document and item the matched windows give
-the part of the item that is covered, and the placeholders' values: a re-parameterised
-question puts the same new value wherever the item repeats one, so every value of the item
-must stand against one value of the document.  A document is contaminated by an item if the
-windows cover enough of it and the slots agree.
+nothing.  Documents' windows are hash-joined with the items' windows, with both positions.
+Each occurrence of an item is judged on its own: hits are grouped by alignment (position in
+the document minus position in the item), exactly and, for copies with words put in or left
+out, in half-overlapping bins of each of BINS.  All hits of a document are a group too, for
+items whose parts stand far apart.  In a group the matched windows give the part of the item
+that is covered, and the placeholders' values: a re-parameterised question puts the same new
+value wherever the item repeats one, so every value of the item must stand against one value
+of the document.  A document is contaminated by an item if in one of the groups the windows
+cover enough of it and the slots agree.
 
 The items' window hashes are broadcast only if there are at most BROADCAST_WINDOWS of them;
 beyond that every document window goes through a shuffle join.  Both give the same rows.
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueflow.llm import wordhash
@@ -32,6 +36,8 @@ from cueflow.llm.shared import stored
 WINDOW, LITERALS = 8, 4
 #: Least part of an item's windows that a document must hold, or so many of them.
 COVERAGE, LONG_RUN = 0.4, 12
+#: Widths of the bins of alignments.
+BINS = (4, 16)
 BROADCAST_WINDOWS = 1_000_000
 
 UNITS = (
@@ -90,8 +96,8 @@ def template_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return canonical, plain, rows
 
 
-def _windows(id_column: str, wanted: np.ndarray | None = None):
-    """Windows of each row with the placeholders' values (0 for literals); only those whose hash is wanted, if given."""
+def _windows(keys: list[str], wanted: np.ndarray | None = None):
+    """Windows of each row, under its ``keys``, with the placeholders' values (0 for literals); only those whose hash is wanted, if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in wordhash.chunks(batches):
@@ -111,40 +117,50 @@ def _windows(id_column: str, wanted: np.ndarray | None = None):
             slots = np.where(canonical[cells] == plain[cells], np.uint64(0), plain[cells]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(id_column).take(pa.array(row)),
+                    *(batch.column(c).take(pa.array(row)) for c in keys),
                     pa.array((at - rows[row]).astype(np.int32)),
                     pa.array(window[at].view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * WINDOW, pa.int32()), pa.array(slots.ravel())),
                 ],
-                names=[id_column, "pos", "window", "slots"],
+                names=[*keys, "pos", "window", "slots"],
             )
 
     return run
 
 
+def _groups(shift: Column) -> Column:
+    """The groups (row, width, bin) of a hit with this alignment; positions are those of one row."""
+    own = lambda width, place: F.struct(F.col("row"), F.lit(width).alias("width"), place.cast("long").alias("bin"))
+    binned = [own(w, 2 * F.floor((shift + half) / w) + F.lit(int(half > 0))) for w in BINS for half in (0, w // 2)]
+    whole = F.struct(F.lit(0).cast("long").alias("row"), F.lit(0).alias("width"), F.lit(0).cast("long").alias("bin"))
+    return F.array(whole, own(1, shift), *binned)
+
+
 def template_matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_windows (matched), item_windows, coverage, consistent."""
-    items = stored(benchmark.select("item_id", "text").mapInArrow(_windows("item_id"), "item_id long, pos int, window long, slots array<long>"), "items")
+    """doc_id, item_id, n_windows (matched), item_windows, coverage, consistent, of the best group of hits."""
+    items = stored(benchmark.select("item_id", "text").mapInArrow(_windows(["item_id"]), "item_id long, pos int, window long, slots array<long>"), "items")
     sizes = items.groupBy("item_id").agg(F.countDistinct("window").alias("item_windows"))
     distinct = items.select("window").distinct()
     wanted = None
     if distinct.count() <= BROADCAST_WINDOWS:
         wanted = np.sort(distinct.toPandas()["window"].to_numpy(np.int64).view(np.uint64))
-    found = documents.select("doc_id", "text").mapInArrow(_windows("doc_id", wanted), "doc_id long, pos int, window long, slots array<long>")
-    # Copies of a window in one document and item stand for the same piece of the item.
-    hits = stored(
-        found.join(items.select("item_id", "window", F.col("slots").alias("item_slots")), "window")
-        .select("doc_id", "item_id", "window", F.arrays_zip("item_slots", "slots").alias("pairs")),
-        "hits",
+    source = documents.select("doc_id", "text", F.xxhash64("text").alias("row"))
+    found = source.mapInArrow(_windows(["doc_id", "row"], wanted), "doc_id long, row long, pos int, window long, slots array<long>")
+    theirs = items.select("item_id", "window", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
+    # What a hit says: its window is there, and each value of the item stands against one of the document.
+    says = F.expr(
+        "concat(array(struct(true AS is_window, window AS key, 0L AS value)), "
+        "transform(filter(arrays_zip(item_slots, slots), p -> p.item_slots <> 0), p -> struct(false AS is_window, p.item_slots AS key, p.slots AS value)))"
+    )
+    hits = found.join(theirs, "window").select("doc_id", "item_id", F.explode(_groups(F.col("pos") - F.col("item_pos"))).alias("at"), says.alias("says"))
+    said = hits.select("doc_id", "item_id", "at", F.explode("says").alias("s")).groupBy("doc_id", "item_id", "at", "s.is_window", "s.key")
+    # Copies of a window in a group stand for the same piece of the item; a value of the item against several of the document tears it.
+    judged = said.agg(F.min("s.value").alias("low"), F.max("s.value").alias("high")).groupBy("doc_id", "item_id", "at").agg(
+        F.count_if("is_window").alias("n_windows"), F.bool_and(F.col("low") == F.col("high")).alias("consistent")
     )
-    covered = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("window").alias("n_windows"))
-    slots = hits.select("doc_id", "item_id", F.explode(F.expr("filter(pairs, p -> p.item_slots <> 0)")).alias("p"))
-    # A value of the item that stands against several values of the document.
-    values = slots.groupBy("doc_id", "item_id", "p.item_slots").agg(F.min("p.slots").alias("low"), F.max("p.slots").alias("high"))
-    torn = values.groupBy("doc_id", "item_id").agg(F.bool_and(F.col("low") == F.col("high")).alias("agree"))
-    return (
-        covered.join(sizes, "item_id").join(torn, ["doc_id", "item_id"], "left")
-        .select("doc_id", "item_id", "n_windows", "item_windows", (F.col("n_windows") / F.col("item_windows")).alias("coverage"), F.coalesce("agree", F.lit(True)).alias("consistent"))
+    best = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct("consistent", "n_windows")).alias("best"))
+    return best.join(sizes, "item_id").select(
+        "doc_id", "item_id", "best.n_windows", "item_windows", (F.col("best.n_windows") / F.col("item_windows")).alias("coverage"), "best.consistent"
     )
 
 

@@ -233,6 +233,23 @@ def test_decontamination(spark, nothing):
     assert contaminated(nothing, bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_each_occurrence_of_an_item_is_judged_on_its_own(spark):
+    item = "Alice has 12 apples and gives Bob 5 of them at the market, how many kg of apples does Alice keep for the 12 pies?"
+    changed = item.replace("Alice", "Maria").replace("Bob", "Peter").replace("12", "40").replace("5", "7")
+    torn = changed.replace("for the 40 pies", "for the 41 pies")
+    longer = changed.replace("at the market", "at the old market")
+    # A template window that occurs twice in the item, with different values.
+    twice = "one may add 3 to the sum of all, then one may add 4 to the sum of all"
+    filler = " ".join(f"word{i}" for i in range(40))
+    rows = [
+        (1, f"{item} {filler} {changed}"), (2, f"{filler} {changed} {torn}"), (3, f"{torn} {filler} {torn}"), (4, f"{filler} {twice} {filler}"),
+        (5, f"{item} {changed} {item} {filler}"), (6, f"{longer} {filler} {item}"), (None, f"{item} {changed}"), (7, torn), (7, f"so {filler} {changed}"),
+    ]
+    bench = spark.createDataFrame([(1, item), (2, twice)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(1, 1), (2, 1), (4, 2), (5, 1), (6, 1), (None, 1), (7, 1)}
+
+
 def test_leaks_of_the_given_benchmark(spark, sf_dir):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     words = lambda t: [w for w in (re.sub(r"[!-/:-@\[-`{-~]", "", x) for x in lower(t or "").split()) if w]
