@@ -250,6 +250,28 @@ def test_each_occurrence_of_an_item_is_judged_on_its_own(spark):
     assert got == {(1, 1), (2, 1), (4, 2), (5, 1), (6, 1), (None, 1), (7, 1)}
 
 
+def test_copies_without_a_template(spark):
+    """Word for word copies of items dense in numbers, units and names, of short items, and in other case."""
+    items = {
+        1: "12 + 7 = 19 and 30 - 4 = 26 then 5 kg * 3 kg", 2: "Anna Berta Clara Dora Emma Frida Gerda Hanna Ida Jutta", 3: "The Capital City Of The Small Country Of Liechtenstein Is Called What", 4: "What is the capital of Peru?", 5: "Why not?",
+        6: "Today Alice Smith met Bob Jones and Carl Brown near Old Town while Dora Evans and Finn Green left",
+    }
+    filler = " ".join(f"word{i}" for i in range(40))
+    rows = [(100 * form + i, f"{filler} {change(t)} {filler}") for i, t in items.items() for form, change in enumerate((str, str.lower, str.upper, str.title))]
+    rows += [(900, "why NOT"), (901, f"{filler} what is the capital of {filler}"), (902, "12 7 19"), (903, " ".join(reversed(items[2].split()))), (904, None), (905, "")]
+    bench = spark.createDataFrame([*items.items(), (10, None), (11, " ")], "item_id long, text string")
+    import cueflow.llm.decontamination as module
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(100 * form + i, i) for i in items if i != 5 for form in range(4)} | {(900, 5)}
+    assert {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()} == want
+    limit, module.BROADCAST_WINDOWS = module.BROADCAST_WINDOWS, 0
+    try:
+        assert {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()} == want
+    finally:
+        module.BROADCAST_WINDOWS = limit
+
+
 def test_leaks_of_the_given_benchmark(spark, sf_dir):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     words = lambda t: [w for w in (re.sub(r"[!-/:-@\[-`{-~]", "", x) for x in lower(t or "").split()) if w]
