@@ -4,8 +4,9 @@ A text is the first layer.  Every layer is scanned for the three kinds of secret
 unwrapped: percent escapes and ``\\uXXXX`` / ``\\xXX`` escapes give one new layer with all of
 them replaced, every base64 run gives a layer of its decoded bytes, and decoded bytes with
 a gzip, zlib or bzip2 head are decompressed first.  New layers go on the worklist until none
-is left; a layer whose content was seen before in the document is not unwrapped again, which
-ends cycles (compressed data that unpacks to itself).  Each layer knows for every character
+is left; a layer with the content of one it comes from is not unwrapped again, which ends
+cycles (compressed data that unpacks to itself), nor one that was unwrapped at the same place
+of the original.  Copies of a blob elsewhere are unwrapped each.  Each layer knows for every character
 the part of the original text it comes from, so findings in any depth map back to spans of
 the original (code points, end exclusive).  Findings of the text itself always stay.
 
@@ -26,6 +27,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -178,15 +180,21 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], set[tuple[int, int, int
     """Base findings, all findings (start, kind, end), and the number of layers that were cut."""
     base = sorted(find_secrets(text))
     found, oversized = set(base), 0
-    todo = [Layer(text, range(len(text)), range(1, len(text) + 1))]
-    seen = {hashlib.sha256(text.encode("utf-8", "replace")).digest()}
+    digest = lambda layer: hashlib.sha256(layer.text.encode("utf-8", "replace")).digest()
+    first = Layer(text, range(len(text)), range(1, len(text) + 1))
+    # Layers with the contents of those that they come from.
+    todo = [(first, frozenset([digest(first)]))]
+    seen = set()
     while todo:
-        for layer, cut in unwrapped(todo.pop()):
+        above, chain = todo.pop()
+        for layer, cut in unwrapped(above):
             oversized += cut
             found |= {(layer.starts[a], kind, layer.ends[z - 1]) for a, kind, z in find_secrets(layer.text)}
-            if (key := hashlib.sha256(layer.text.encode("utf-8", "replace")).digest()) not in seen:
-                seen.add(key)
-                todo.append(layer)
+            if (key := digest(layer)) in chain:
+                continue
+            if (placed := (key, hashlib.sha256(np.array([layer.starts, layer.ends], np.int64)).digest())) not in seen:
+                seen.add(placed)
+                todo.append((layer, chain | {key}))
     return base, found, oversized
 
 

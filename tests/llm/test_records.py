@@ -109,6 +109,17 @@ def test_layers_end(spark):
     assert secrets.scan(bomb)[2] == 1
 
 
+def test_copies_of_a_nested_blob_are_unwrapped_each():
+    secret = "x token=abcdefghijklmnop y"
+    wrap = lambda t: base64.b64encode(t.encode()).decode()
+    for inner in (wrap(f"{secret} tail"), secret.replace("=", "%3D"), base64.b64encode(gzip.compress(secret.encode())).decode()):
+        blob = wrap(f"see {inner} there")
+        text = f"a {blob} b {blob} c {blob}"
+        spans = secrets.scan(text)[1]
+        places = [m.start() for m in re.finditer(re.escape(blob), text)]
+        assert [sum(p <= a and z <= p + len(blob) for a, _, z in spans) for p in places] == [1, 1, 1] and len(spans) == 3
+
+
 def test_warc_round_trip(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     records = {}
