@@ -2,16 +2,18 @@
 
 A text is the first layer.  Every layer is scanned for the three kinds of secrets and
 unwrapped: percent escapes and ``\\uXXXX`` / ``\\xXX`` escapes give one new layer with all of
-them replaced, every base64 run gives a layer of its decoded bytes, and decoded bytes with
-a gzip, zlib or bzip2 head are decompressed first.  New layers go on the worklist until none
+them replaced, every base64 run, also over line breaks, gives a layer of its decoded bytes
+(U+FFFD for what isn't UTF-8), and decoded or escaped bytes with a gzip, zlib or bzip2 head
+are decompressed first, through all members.  New layers go on the worklist until none
 is left; a layer with the content of one it comes from is not unwrapped again, which ends
 cycles (compressed data that unpacks to itself), nor one that was unwrapped at the same place
 of the original.  Copies of a blob elsewhere are unwrapped each.  Each layer knows for every character
 the part of the original text it comes from, so findings in any depth map back to spans of
 the original (code points, end exclusive).  Findings of the text itself always stay.
 
-A decompressed layer beyond LAYER_BYTES is not expanded further than that and its document
-says so (``n_oversized``), so that an archive bomb can't take a task's memory.
+A decompressed layer beyond LAYER_BYTES is unwrapped in pieces of about that size, cut at
+spaces with OVERLAP bytes in common, so that an archive bomb can't take a task's memory; its
+document says so (``n_oversized``).
 
 Defined results: null text is empty; repeated rows are scanned each; an empty table gives
 an empty result; further columns are ignored.
@@ -23,15 +25,17 @@ import base64
 import binascii
 import bz2
 import hashlib
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-LAYER_BYTES = 16 << 20
+LAYER_BYTES, OVERLAP = 16 << 20, 64 << 10
 KINDS = ("assign", "access", "hex")
 SCAN_TYPES = {"n_assign": "long", "n_access": "long", "n_hex": "long", "base_sha256": "string", "spans": "string", "n_added": "long", "n_oversized": "long"}
 
@@ -42,6 +46,15 @@ _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]+={0,2}")
+_BREAK = re.compile(r"\r?\n[ \t]*")
+_URL_BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~!*'()/+-])+")
+_STRING_ESCAPE = r"""\\x[0-9A-Fa-f]{2}|\\u00[0-9A-Fa-f]{2}|\\[nrt\\'"]"""
+# Inside quotes, or from an escape to the next space.
+_STRING_BYTES = re.compile(rf"""(?<=(["']))(?:{_STRING_ESCAPE}|(?!\1)[\x20-\x5b\x5d-\x7e])+|\\x[0-9A-Fa-f]{{2}}(?:{_STRING_ESCAPE}|[!-\x5b\x5d-\x7e])+""")
+_UNITS = {"%": re.compile("%..|."), "\\": re.compile(rf"{_STRING_ESCAPE}|.", re.DOTALL)}
+_STRING_BYTE = re.compile(rb"\\x([0-9A-Fa-f]{2})|\\u00([0-9A-Fa-f]{2})|\\([nrt\\'\"])")
+_PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|x[\x01\x5e\x9c\xda]")
 _ESCAPED = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 
 
@@ -60,9 +73,15 @@ def find_secrets(text: str) -> list[tuple[int, int, int]]:
 class Layer:
     """A decoded text; character i comes from the original's code points starts[i] to ends[i]."""
 
-    def __init__(self, text: str, starts: list[int] | range, ends: list[int] | range):
+    def __init__(self, text: str, starts: list[int] | range | _Same, ends: list[int] | range | _Same):
         self.text, self.starts, self.ends = text, starts, ends
 
+    def place(self) -> tuple | bytes:
+        """Tells layers of the same content at different places apart."""
+        if isinstance(self.starts, _Same):
+            return self.starts.value, self.ends.value
+        return hashlib.sha256(np.array([self.starts, self.ends], np.int64)).digest()
+
 
 def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     """The layer with every match that decodes replaced, or None if none does."""
@@ -83,21 +102,22 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return Layer("".join(pieces) + layer.text[at:], starts + list(layer.starts[at:]), ends + list(layer.ends[at:]))
 
 
-def _percent(run: str) -> list[tuple[str, int, int]] | None:
-    """Characters of a percent-escaped run with their places in it; None if it isn't UTF-8."""
-    data = bytes.fromhex(run.replace("%", ""))
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+def _characters(data: bytes) -> list[tuple[str, int, int]]:
+    """The characters of UTF-8 bytes with their places; U+FFFD for each byte that is none."""
     out, at = [], 0
-    for c in text:
-        n = len(c.encode("utf-8"))
-        out.append((c, 3 * at, 3 * (at + n)))
+    for c in data.decode("utf-8", "surrogateescape"):
+        lost = 0xDC80 <= ord(c) <= 0xDCFF
+        n = 1 if lost else len(c.encode("utf-8"))
+        out.append(("\ufffd" if lost else c, at, at + n))
         at += n
     return out
 
 
+def _percent(run: str) -> list[tuple[str, int, int]]:
+    """Characters of a percent-escaped run with their places in it."""
+    return [(c, 3 * a, 3 * z) for c, a, z in _characters(bytes.fromhex(run.replace("%", "")))]
+
+
 def _escapes(run: str) -> list[tuple[str, int, int]]:
     """Characters of a run of \\u and \\x escapes; surrogate pairs join, lone ones become U+FFFD."""
     out: list[tuple[str, int, int]] = []
@@ -110,61 +130,163 @@ def _escapes(run: str) -> list[tuple[str, int, int]]:
     return [("�" if 0xD800 <= ord(c) < 0xE000 else c, a, z) for c, a, z in out]
 
 
-def _decompressed(data: bytes) -> tuple[bytes | None, bool]:
-    """Unpacked bytes, up to LAYER_BYTES, and whether there was more; None if not packed."""
-    try:
-        if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2]) % 31 == 0):
-            unpack = zlib.decompressobj(47)
-            out = unpack.decompress(data, LAYER_BYTES)
-            return out, bool(unpack.unconsumed_tail)
-        if data[:3] == b"BZh":
-            unpack = bz2.BZ2Decompressor()
-            out = unpack.decompress(data, LAYER_BYTES)
-            return out, not unpack.eof and not unpack.needs_input
-    except (zlib.error, OSError, EOFError):
-        pass
-    return None, False
-
-
-def _readable(data: bytes) -> str | None:
-    """The bytes as text, if they are UTF-8 without control characters."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return None if any(c < " " and c not in "\t\n\r\f\v" or c == "\x7f" for c in text) else text
+class _Same:
+    """n times the same value, as a sequence."""
+
+    def __init__(self, value: int, n: int):
+        self.value, self.n = value, n
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, at):
+        if isinstance(at, slice):
+            return [self.value] * len(range(*at.indices(self.n)))
+        if not -self.n <= at < self.n:
+            raise IndexError(at)
+        return self.value
+
+
+def _is_packed(data: bytes) -> bool:
+    return data[:2] == b"\x1f\x8b" or data[:3] == b"BZh" or (data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2]) % 31 == 0)
+
+
+def _members(parts: Iterator[bytes]) -> Iterator[bytes]:
+    """The unpacked bytes of packed ones, in parts of up to LAYER_BYTES: all members, and what follows them."""
+    rest, unpacked = b"", False
+    while True:
+        while len(rest) < 3 and (part := next(parts, None)) is not None:
+            rest += part
+        if not _is_packed(rest):
+            break
+        unpack = bz2.BZ2Decompressor() if rest[:3] == b"BZh" else zlib.decompressobj(47)
+        zipped = rest[:3] != b"BZh"
+        while not unpack.eof:
+            try:
+                out = unpack.decompress(rest, LAYER_BYTES)
+            except (zlib.error, OSError, EOFError):
+                return
+            unpacked |= bool(out)
+            if out:
+                yield out
+            rest = unpack.unconsumed_tail if zipped else b""
+            if not unpack.eof and not rest and (len(out) < LAYER_BYTES if zipped else unpack.needs_input):
+                if (part := next(parts, None)) is None:
+                    return
+                rest = part
+        # Members may be padded with zeros.
+        rest = unpack.unused_data.lstrip(b"\0")
+    if unpacked:
+        yield from (x for x in (rest, *parts) if x)
+
+
+def _unpacked(parts: Iterator[bytes], seen: frozenset[bytes] = frozenset()) -> Iterator[bytes]:
+    """Unpacking again and again: archives in archives; ends at bytes that begin as those they come from."""
+    first = next(parts, b"")
+    if not first:
+        return
+    key = hashlib.sha256(first).digest()
+    again = itertools.chain([first], parts)
+    if key in seen or not _is_packed(first):
+        yield from again
+        return
+    inner = _members(again)
+    if (head := next(inner, None)) is None:
+        # Only looks packed; of the bytes themselves nothing is lost.
+        yield first
+        yield from parts
+        return
+    yield from _unpacked(itertools.chain([head], inner), seen | {key})
+
+
+def _packed_layers(data: bytes, start: int, end: int) -> Iterator[tuple[Layer, bool]]:
+    """Layers of the unpacked bytes, all of them from start to end of the original; none if they are not packed."""
+    if not _is_packed(data):
+        return
+    parts = _members(iter([data]))
+    if (head := next(parts, None)) is None:
+        return
+    key = frozenset([hashlib.sha256(data).digest()])
+    carry, size, told = b"", 0, False
+    for part in _unpacked(itertools.chain([head], parts), key):
+        size += len(part)
+        carry += part
+        if len(carry) <= LAYER_BYTES:
+            continue
+        yield _whole(carry, start, end), not told
+        told = True
+        cut = max(carry.rfind(b" ", 1, -OVERLAP), carry.rfind(b"\n\n", 1, -OVERLAP))
+        carry = carry[cut if cut > 0 else -OVERLAP :]
+    if carry:
+        yield _whole(carry, start, end), size > LAYER_BYTES and not told
 
 
-def _base64_layers(layer: Layer) -> Iterator[tuple[Layer, bool]]:
-    for m in _BASE64.finditer(layer.text):
-        body = m[0].rstrip("=")
-        if len(body) % 4 == 1:
+def _whole(data: bytes, start: int, end: int) -> Layer:
+    text = data.decode("utf-8", "replace")
+    return Layer(text, _Same(start, len(text)), _Same(end, len(text)))
+
+
+def _wrapped(text: str) -> Iterator[list[re.Match]]:
+    """Runs of base64 on lines that follow each other: all together, and lines of one length with the last of them."""
+    chain: list[re.Match] = []
+    for m in itertools.chain(_RUN.finditer(text), [None]):
+        if m and chain and chain[-1].end() - chain[-1].start() >= 16 and _BREAK.fullmatch(text, chain[-1].end(), m.start()) and not chain[-1][0].endswith("="):
+            chain.append(m)
             continue
+        if len(chain) > 1:
+            yield chain
+            at = 0
+            while at < len(chain):
+                width, last = len(chain[at][0]), at + 1
+                while last < len(chain) and len(chain[last][0]) == width:
+                    last += 1
+                last += last < len(chain) and len(chain[last][0]) < width
+                if last - at > 1 and (at, last) != (0, len(chain)):
+                    yield chain[at:last]
+                at = last
+        chain = [m] if m else []
+
+
+def _base64_layers(layer: Layer) -> Iterator[tuple[Layer, bool]]:
+    runs = ([m] for m in _BASE64.finditer(layer.text))
+    for parts in itertools.chain(runs, _wrapped(layer.text) if "\n" in layer.text else ()):
+        body = "".join(m[0] for m in parts).rstrip("=")
+        # A last character of six bits holds no byte.
+        body = body[: len(body) - (len(body) % 4 == 1)]
         try:
             data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        whole = (layer.starts[m.start()], layer.ends[m.end() - 1])
-        packed, more = _decompressed(data)
-        if packed is not None:
-            # Unpacking again and again: archives in archives without base64 between them.
-            seen = {hashlib.sha256(data).digest()}
-            while (key := hashlib.sha256(packed).digest()) not in seen:
-                seen.add(key)
-                inner, cut = _decompressed(packed)
-                if inner is None:
-                    break
-                packed, more = inner, more or cut
-            text = packed.decode("utf-8", "replace")
-            yield Layer(text, [whole[0]] * len(text), [whole[1]] * len(text)), more
-        elif (text := _readable(data)) is not None:
-            starts, ends, at = [], [], 0
-            for c in text:
-                n = len(c.encode("utf-8"))
-                starts.append(layer.starts[m.start() + 4 * at // 3])
-                ends.append(layer.ends[min(m.start() + (4 * (at + n) - 1) // 3, m.end() - 1)])
-                at += n
-            yield Layer(text, starts, ends), False
+        packed = False
+        for new in _packed_layers(data, layer.starts[parts[0].start()], layer.ends[parts[-1].end() - 1]):
+            packed = True
+            yield new
+        if not packed:
+            places = range(parts[0].start(), parts[0].end()) if len(parts) == 1 else [i for m in parts for i in range(m.start(), m.end())]
+            plain = _characters(data)
+            starts = [layer.starts[places[4 * a // 3]] for _, a, _ in plain]
+            ends = [layer.ends[places[min((4 * z - 1) // 3, len(places) - 1)]] for _, _, z in plain]
+            yield Layer("".join(c for c, _, _ in plain), starts, ends), False
+
+
+def _string_bytes(run: str) -> bytes:
+    named = {b"n": b"\n", b"r": b"\r", b"t": b"\t"}
+    return _STRING_BYTE.sub(lambda m: named.get(m[3], m[3]) if m[3] else bytes.fromhex((m[1] or m[2]).decode()), run.encode())
+
+
+def _escaped_archives(layer: Layer) -> Iterator[tuple[Layer, bool]]:
+    """Layers of packed bytes that stand escaped in the text."""
+    for sign, pattern, decode in (("%", _URL_BYTES, unquote_to_bytes), ("\\", _STRING_BYTES, _string_bytes)):
+        if sign not in layer.text:
+            continue
+        for m in pattern.finditer(layer.text):
+            if sign not in m[0]:
+                continue
+            data = decode(m[0])
+            for head in _PACKED.finditer(data):
+                # Every unit of the run is a byte.
+                unit = next(itertools.islice(_UNITS[sign].finditer(m[0]), head.start(), None))
+                yield from _packed_layers(data[head.start() :], layer.starts[m.start() + unit.start()], layer.ends[m.end() - 1])
 
 
 def unwrapped(layer: Layer) -> Iterator[tuple[Layer, bool]]:
@@ -173,6 +295,7 @@ def unwrapped(layer: Layer) -> Iterator[tuple[Layer, bool]]:
         yield new, False
     if "\\" in layer.text and (new := _replaced(layer, _ESCAPE, _escapes)):
         yield new, False
+    yield from _escaped_archives(layer)
     yield from _base64_layers(layer)
 
 
@@ -192,7 +315,7 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], set[tuple[int, int, int
             found |= {(layer.starts[a], kind, layer.ends[z - 1]) for a, kind, z in find_secrets(layer.text)}
             if (key := digest(layer)) in chain:
                 continue
-            if (placed := (key, hashlib.sha256(np.array([layer.starts, layer.ends], np.int64)).digest())) not in seen:
+            if (placed := (key, layer.place())) not in seen:
                 seen.add(placed)
                 todo.append((layer, chain | {key}))
     return base, found, oversized

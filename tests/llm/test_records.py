@@ -1,6 +1,7 @@
 """Chat formatting, secret scans, WARC derivatives and the pipeline."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import re
@@ -120,6 +121,28 @@ def test_copies_of_a_nested_blob_are_unwrapped_each():
         assert [sum(p <= a and z <= p + len(blob) for a, _, z in spans) for p in places] == [1, 1, 1] and len(spans) == 3
 
 
+def test_layers_are_unwrapped_whole():
+    secret = "token=abcdefghijklmnop"
+    noise = " ".join(hashlib.sha256(str(i).encode()).hexdigest()[:20] for i in range(60))
+    b64 = lambda data: base64.b64encode(data).decode()
+    long = b"-+ " * (secrets.LAYER_BYTES // 3 + 9)
+    fold = lambda t, w: "\n".join(t[i : i + w] for i in range(0, len(t), w))
+    zipped = gzip.compress(f"{noise} {secret}".encode())
+    quoted = "".join(f"%{b:02X}" for b in zipped)
+    texts = {
+        "behind 16 MB": b64(gzip.compress(long + secret.encode())), "behind 16 MB of bzip2": b64(bz2.compress(long + secret.encode())), "two layers": b64(gzip.compress(gzip.compress(long + secret.encode()))),
+        "second member": b64(gzip.compress(b"nothing") + gzip.compress(secret.encode())), "second bzip2": b64(bz2.compress(b"nothing") + bz2.compress(secret.encode())),
+        "wrapped": fold(b64(zipped), 64), "wrapped 76": "a-first-line-of-one-word\n" + fold(b64(zipped), 76), "over a line end": fold(b64(b"x" * 50 + secret.encode() + b" y" * 40), 76).replace("\n", "\r\n"),
+        "one bad byte": b64(b"\xff\x00 " + secret.encode()), "bad escape": "%FF" + "".join(f"%{b:02X}" for b in secret.encode()), "escaped archive": f"q={quoted}&x", "string": repr(zipped),
+    }
+    for name, text in texts.items():
+        found = secrets.scan(f"see {text} ok")[1]
+        assert any(kind == 0 and 4 <= a and z <= 4 + len(text) for a, kind, z in found), name
+    wrapped = texts["over a line end"]
+    at = next(a for a, kind, _ in secrets.scan(wrapped)[1] if kind == 0)
+    assert at == 50 * 4 // 3
+
+
 def test_warc_round_trip(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     records = {}
