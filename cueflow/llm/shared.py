@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,19 +15,21 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (local tests) a temporary folder takes its place.
+    Only on a local master a temporary folder takes its place where it is unset.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="cueflow-"))
         folder = context.getCheckpointDir()
     return folder
 
 
-#: Paths of stored tables, a list for each open ``scratch``.
-_open: list[list[str]] = []
+#: Paths of stored tables, a list for each open ``scratch`` of this thread of control.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("open_scratches", default=())
 
 
 def stored(df: DataFrame, name: str, result: bool = False) -> DataFrame:
@@ -37,8 +40,8 @@ def stored(df: DataFrame, name: str, result: bool = False) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/cueflow-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if len(_open) > result:
-        _open[-1 - result].append(path)
+    if len(_open.get()) > result:
+        _open.get()[-1 - result].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -49,11 +52,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     What the block returns must read results only.
     """
     paths: list[str] = []
-    _open.append(paths)
+    token = _open.set((*_open.get(), paths))
     try:
         yield
     finally:
-        _open.remove(paths)
+        _open.reset(token)
         for path in paths:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
