@@ -56,14 +56,14 @@ def all_pairs(rows: DataFrame) -> DataFrame:
     return left.join(right, ["bucket", "block"]).where("a < b and ra <> rb").select("a", "b").distinct()
 
 
-def bucket_links(rows: DataFrame, links: DataFrame, verified: Callable[[DataFrame], DataFrame], deltas: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """``links`` (a, b) and more: those that join what rows(bucket, x) share and the links leave apart.
+def bucket_links(rows: DataFrame, links: DataFrame, verified: Callable[[DataFrame], DataFrame], deltas: Callable[[DataFrame], DataFrame], percent: int, roots: DataFrame | None = None) -> DataFrame:
+    """``links`` (a, b), with components ``roots``, and more: those that join what rows(bucket, x) share and the links leave apart.
 
     ``verified``: the pairs (a, b) that link.  ``deltas``: for pairs (c, x) also n_c and n,
     the sizes of both sets, and delta, the elements that one of them has.
     """
     rows = rows.select("bucket", "x")
-    roots = connected_components(links)
+    roots = connected_components(links) if roots is None else roots
     for level in range(ROUNDS + 1):
         rows = stored(open_buckets(rows, roots), "open-buckets")
         count, pairs = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("c") - 1), F.lit(0)) / 2).first()
