@@ -15,12 +15,13 @@ first, by document frequency, then by fingerprint; all others follow by fingerpr
 global order gives the same links; this one needs frequencies of the pool only, and they
 are counted over all documents.
 
-Large groups of near copies don't become all pairs: a first pass verifies every member of
-a bucket against the bucket's most central group (the one whose shared shingle comes
-earliest), and the second pass takes only pairs whose ends aren't yet in one component and
-whose parity signatures (SIGNATURE bits; each shingle flips one) differ in no more bits than
-linked sets may differ in shingles.  Both leave out pairs that can't matter, and components
-come out as if all pairs had been verified.
+Large groups of near copies don't become all pairs: a first pass compares every group of a
+bucket with the bucket's centre (the group with the fewest shingles of its own) and every
+group's members with its first.  Buckets and groups whose members are in one component then
+are done; of the others, small ones compare what is apart, if its parity signatures
+(SIGNATURE bits; each shingle flips one) differ in no more bits than linked sets may differ
+in shingles, and large ones go on by their differences from centres (``stars``).  All this
+leaves out pairs that can't matter: components come out as if all pairs had been verified.
 
 Defined results: null or blank text has an empty set and no link; repeated rows count as
 copies; a repeated doc_id with different texts gives a node per text; an empty table gives
@@ -39,6 +40,7 @@ from pyspark.sql import functions as F
 
 from cueflow.llm import wordhash
 from cueflow.llm.shared import connected_components, scratch, stored
+from cueflow.llm.stars import bucket_links
 
 #: The pool's part of the fingerprint range, as a multiple of (1 - threshold).
 POOL = 1.6
@@ -129,10 +131,35 @@ def _overlap(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets reach the threshold."""
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sizes of both sets of a pair (a, b), and the shingles that only one of them has."""
+    for batch in batches:
+        n_a, n_b, parts, ends = [], [], [np.zeros(0, np.uint64)], [0]
+        for x, y in zip(batch.column("items_a"), batch.column("items_b"), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            both = np.concatenate([x, y])
+            both.sort()
+            same = both[1:] == both[:-1]
+            parts.append(both[~(np.append(same, False) | np.append(False, same))])
+            n_a.append(len(x))
+            n_b.append(len(y))
+            ends.append(ends[-1] + len(parts[-1]))
+        delta = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(n_a, pa.int32()), pa.array(n_b, pa.int32()), delta], names=["c", "x", "n_c", "n", "delta"])
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     a, b = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
-    return stored(pairs.join(b, "b").join(a, "a").mapInArrow(_overlap(percent), "a long, b long"), name)
+    return pairs.join(b, "b").join(a, "a")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets reach the threshold."""
+    return _with_sets(pairs, sets).mapInArrow(_overlap(percent), "a long, b long")
+
+
+def _deltas(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    return _with_sets(pairs.select(F.col("c").alias("a"), F.col("x").alias("b")), sets).mapInArrow(_differences, "c long, x long, n_c int, n int, delta array<long>")
 
 
 def _may_link(percent: int) -> Column:
@@ -143,13 +170,14 @@ def _may_link(percent: int) -> Column:
     )
 
 
-def _near_parity(percent: int) -> Column:
-    """Linked sets differ in no more shingles than their sizes allow, so in no more bits.
+def _near_parity(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose parity signatures allow a link: sets differ in as many shingles as bits at least.
 
-    A group knows the bits that all its members agree in (all_set = any_set).
+    marks(node, n, parity).
     """
-    differing = " + ".join(f"bit_count((any_set[{i}] ^ any_set2[{i}]) & ~(all_set[{i}] ^ any_set[{i}]) & ~(all_set2[{i}] ^ any_set2[{i}]))" for i in range(WORDS))
-    return F.expr(f"{differing} <= n + m - 2 * (((n + m) * {percent} + {99 + percent}) div {100 + percent})")
+    both = pairs.join(_renamed(marks, node="a", n="n", parity="p"), "a").join(_renamed(marks, node="b", n="m", parity="q"), "b")
+    differing = " + ".join(f"bit_count(p[{i}] ^ q[{i}])" for i in range(WORDS))
+    return both.where(f"{differing} <= n + m - 2 * (((n + m) * {percent} + {99 + percent}) div {100 + percent})").select("a", "b")
 
 
 def _renamed(df: DataFrame, **names: str) -> DataFrame:
@@ -158,7 +186,7 @@ def _renamed(df: DataFrame, **names: str) -> DataFrame:
 
 
 def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
-    """node, n, p (length of the prefix), prefix: its shingles of more than one class, with positions."""
+    """node, n, p (length of the prefix), once (shingles of the pool in no other class), prefix: its shingles of more than one class, with positions."""
     tokens = classes.select("node", "n_pool", F.posexplode("tokens").alias("at", "token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     seen = (
@@ -175,7 +203,7 @@ def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
     return (
         seen.join(classes.select("node", "n", "n_pool"), "node").withColumn("once", once)
         .withColumn("p", F.expr(f"n - (n * {percent} + 99) div 100 + 1"))
-        .select("node", "n", "p", place.alias("prefix")).where(F.size("prefix") > 0)
+        .select("node", "n", "p", "once", place.alias("prefix")).where(F.size("prefix") > 0)
     )
 
 
@@ -205,12 +233,13 @@ def ngram_links(documents: DataFrame, k: int = 3, percent: int = 90) -> tuple[Da
     first = ranked.groupBy("alike").agg(F.min("node").alias("g"))
     members = stored(ranked.select("alike", "node", "n").join(first, "alike").select("g", "node", "n"), "members")
     groups = ranked.join(members.where("g = node").select("node"), "node", "left_semi")
-    postings = groups.select(F.col("node").alias("g"), "n", F.inline("prefix"))
+    postings = groups.select(F.col("node").alias("g"), "n", "once", F.inline("prefix"))
     met = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     postings = stored(postings.join(met, "token"), "postings")
 
-    # First pass: each bucket's groups against its most central one, each group's members against its first.
-    centre = postings.groupBy("token").agg(F.min(F.struct(F.col("pos").alias("qos"), F.col("g").alias("h"), F.col("n").alias("m"))).alias("c")).select("token", "c.*")
+    # First pass: each bucket's groups against its centre, each group's members against its first.
+    rank = F.struct("once", F.xxhash64("g").alias("o"), F.col("g").alias("h"), F.col("n").alias("m"), F.col("pos").alias("qos"))
+    centre = postings.groupBy("token").agg(F.min(rank).alias("c")).select("token", "c.h", "c.m", "c.qos")
     star = postings.join(centre, "token").where("g <> h").where(_may_link(percent)).select(F.least("g", "h").alias("a"), F.greatest("g", "h").alias("b"))
     inside = members.where("g <> node").select(F.least("g", "node").alias("a"), F.greatest("g", "node").alias("b"))
     star = stored(star.unionByName(inside).distinct(), "star")
@@ -219,28 +248,24 @@ def ngram_links(documents: DataFrame, k: int = 3, percent: int = 90) -> tuple[Da
     copies = classes.join(wanted, "node", "left_semi").select("node", "copy.*").withColumnRenamed("doc_id", "id")
     texts = source.join(copies, "text_hash").where("doc_id <=> id").dropDuplicates(["node"]).select("node", "text")
     sets = stored(texts.mapInArrow(_set_blobs(k), "node long, items binary"), "sets")
-    links = _verified(star, sets, percent, "links")
+    links = stored(_verified(star, sets, percent), "links")
 
     # Second pass: only what isn't in one component yet.
     found = connected_components(links)
-    state = members.join(found, "node", "left").join(classes.select("node", "parity"), "node")
-    state = stored(state.select("g", "node", "n", F.coalesce("root", "node").alias("root"), "parity"), "state")
-    bits = lambda f: F.array(*[f(F.col("parity")[i]) for i in range(WORDS)])
-    mixed = stored(state.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"), bits(F.bit_and).alias("all_set"), bits(F.bit_or).alias("any_set")), "mixed")
-    apart = postings.join(mixed.select("g", "low", "high"), "g")
-    unsettled = apart.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("token")
-    apart = stored(apart.join(unsettled, "token").join(mixed.select("g", "all_set", "any_set"), "g"), "apart")
-    other = _renamed(apart, token="token", g="h", n="m", pos="qos", low="low2", high="high2", all_set="all_set2", any_set="any_set2")
-    met = apart.join(other, "token").where("g < h and not (low = high and low2 = high2 and low = low2)").where(_may_link(percent)).where(_near_parity(percent))
-    split = mixed.where("low <> high").select("g", F.col("g").alias("h"))
-    left = state.select("g", F.col("node").alias("x"), F.col("root").alias("rx"), "n", F.col("parity").alias("all_set"), F.col("parity").alias("any_set"))
-    right = _renamed(left, g="h", x="y", rx="ry", n="m", all_set="all_set2", any_set="any_set2")
-    rest = (
-        met.select("g", "h").distinct().unionByName(split).join(left, "g").join(right, "h")
-        .where("rx <> ry and (g <> h or x < y)").where(_near_parity(percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    )
-    more = _verified(rest.join(star, ["a", "b"], "left_anti"), sets, percent, "more")
-    return nodes, connected_components(links.unionByName(more))
+    rooted = members.join(found, "node", "left").select("g", "node", "n", F.coalesce("root", "node").alias("root"))
+    mixed = stored(rooted.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")), "mixed")
+    apart = postings.select("token", "g").join(mixed, "g").groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("token")
+    by_token = postings.join(apart, "token").select(F.xxhash64("token", F.lit("token")).alias("bucket"), "g")
+    by_group = mixed.where("low <> high").select(F.xxhash64("g", F.lit("group")).alias("bucket"), "g")
+    rows = stored(by_token.unionByName(by_group).join(members.select("g", F.col("node").alias("x")), "g").select("bucket", "x"), "buckets")
+    wanted = rows.select(F.col("x").alias("node")).distinct()
+    marks = stored(members.select("node", "n").join(wanted, "node").join(classes.select("node", "parity"), "node"), "marks")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return _verified(_near_parity(pairs.join(star, ["a", "b"], "left_anti"), marks, percent), sets, percent)
+
+    links = bucket_links(rows, links, verified, lambda pairs: _deltas(pairs, sets), percent, found)
+    return nodes, connected_components(links)
 
 
 def labelled_nodes(documents: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -266,15 +291,20 @@ def ngram_components(documents: DataFrame, k: int = 3, percent: int = 90) -> Dat
 def one_of_each_component(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``documents`` without all but the first row of each component (smallest doc_id, then text).
 
-    Documents without words all stay.
+    Documents without words all stay, repeated rows too; of equal rows with words one stays.
     """
     with scratch(documents.sparkSession):
         labelled = labelled_nodes(documents, k, percent)
         worded = labelled.where("n_shingles > 0")
         repeated = not worded.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty()
-        kept = worded.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("first.*")
-        kept = kept.unionByName(labelled.where("n_shingles = 0").select("doc_id", "text_hash").distinct())
-        kept = stored(_renamed(kept, doc_id="_kept_id", text_hash="_kept_hash"), "kept", result=True)
-    same = (F.xxhash64("text") == F.col("_kept_hash")) & F.col("doc_id").eqNullSafe(F.col("_kept_id"))
-    found = documents.join(kept, same, "left_semi")
-    return found.dropDuplicates(["doc_id", "text"]) if repeated else found
+        first = worded.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("first.*")
+        blank = labelled.where("n_shingles = 0").select("doc_id", "text_hash").distinct()
+        kept = first.select("*", F.lit(True).alias("worded")).unionByName(blank.select("*", F.lit(False).alias("worded")))
+        kept = stored(_renamed(kept, doc_id="kept_id", text_hash="kept_hash", worded="worded"), "kept", result=True)
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    rows = documents.select(row, "doc_id", F.xxhash64("text").alias("text_hash"))
+    same = (F.col("text_hash") == F.col("kept_hash")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
+    found = rows.join(kept, same)
+    if repeated:
+        found = found.where("worded").dropDuplicates(["doc_id", "text_hash"]).unionByName(found.where("not worded"))
+    return found.select("row.*")
