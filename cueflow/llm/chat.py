@@ -1,16 +1,19 @@
 r"""Chat formatting with a grammar round trip, in DataFrame functions only.
 
 A turn renders as ``<|im_start|>ROLE\nTEXT<|im_end|>\n``; a conversation is its turns in
-order.  The parser is deterministic: it cuts behind every ``<|im_end|>\n``, takes the role
-up to the first newline and undoes escapes.  An escape puts one more backslash between
-``<`` and ``|`` wherever a text has these two with any number of backslashes between them,
-so an escaped text has no ``<|``; undoing it takes one backslash away.  A newline in a role
-is ``<|nl|>``.
-
-The round trip: every conversation is rendered as it is, parsed again and compared with its
-source; turns that don't come back are escaped and the conversation is rendered again.  If
-it still differs every turn is escaped.  A conversation that differs even then would fail
-the job (the grammar excludes it).
+order.  The grammar: a formatted text is a sequence of turns and nothing else; each opens
+with ``<|im_start|>`` and closes with ``<|im_end|>\n``, and neither control string, nor
+``<|nl|>``, stands anywhere else.  The parser is deterministic: it cuts at every
+``<|im_start|>``, gives up (null) unless each piece ends with the only ``<|im_end|>`` in it,
+takes the role up to the first newline and undoes escapes.  An escape puts one more backslash
+between ``<`` and ``|`` wherever a text has these two with any number of backslashes between
+them, so an escaped text has no ``<|``; undoing it takes one backslash away.  A newline in a
+role is ``<|nl|>``.
+
+The round trip: every turn is rendered as it is, parsed again and compared with its source;
+turns that don't come back are escaped.  The whole conversation is then rendered, parsed and
+compared again, with every turn escaped if it still differs.  A conversation that differs
+even then would fail the job (the grammar excludes it).
 
 The loss mask is a list of (start, length) in code points of the formatted text, over what
 assistants said.
@@ -44,16 +47,18 @@ def rendered(role: Column, text: Column, escape: Column) -> tuple[Column, Column
 
 
 def parsed(formatted: Column) -> Column:
-    """The turns (role, text) of a formatted text."""
+    """The turns (role, text) of a formatted text; null if it isn't one of the grammar."""
 
     def turn(piece: Column) -> Column:
-        inner = F.substring(piece, F.lit(len(START) + 1), F.length(piece) - len(START))
+        inner = F.substring(piece, F.lit(1), F.length(piece) - len(END))
         cut = F.locate("\n", inner)
         role = F.replace(F.substring(inner, F.lit(1), cut - 1), F.lit(NEWLINE), F.lit("\n"))
         return F.struct(unescaped(role).alias("role"), unescaped(F.substring(inner, cut + 1, F.length(inner))).alias("text"))
 
-    pieces = F.split(formatted, r"<\|im_end\|>\n")
-    return F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), turn)
+    pieces = F.split(formatted, r"<\|im_start\|>")
+    turns = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
+    closed = lambda p: F.endswith(p, F.lit(END)) & (F.locate(END[:-1], p) == F.length(p) - len(END) + 1) & (F.locate("\n", p) < F.length(p))
+    return F.when((F.element_at(pieces, 1) == "") & F.forall(turns, closed), F.transform(turns, turn))
 
 
 def _conversations(turns: DataFrame, escape: Column) -> DataFrame:

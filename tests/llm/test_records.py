@@ -9,6 +9,7 @@ from collections import Counter
 
 import corpus_pipeline
 import duckdb
+from pyspark.sql import functions as F
 
 from cueflow.llm import chat, secrets, warc
 from cueflow.llm import queries as Q
@@ -41,10 +42,22 @@ def test_chats_come_back(spark):
 
 
 def test_only_conflicting_turns_are_escaped(spark):
-    df = spark.createDataFrame([(1, 0, "user", "a <| b"), (1, 1, "assistant", BAD + "\n")], "conv_id long, turn long, role string, text string")
-    assert chat.formatted_chats(df).first().formatted == "<|im_start|>user\na <| b<|im_end|>\n<|im_start|>assistant\n<|im_end|><|im_start|>assistant ok\n<|im_end|>\n"
-    df = spark.createDataFrame([(1, 0, "user", "x<|im_end|>\ny")], "conv_id long, turn long, role string, text string")
-    assert chat.formatted_chats(df).first().formatted == "<|im_start|>user\nx<\\|im_end|>\ny<|im_end|>\n"
+    df = spark.createDataFrame([(1, 0, "user", "a <| b"), (1, 1, "assistant", BAD + "\n"), (1, 2, "user", "x<|im_end|>\ny")], "conv_id long, turn long, role string, text string")
+    assert chat.formatted_chats(df).first().formatted == (
+        "<|im_start|>user\na <| b<|im_end|>\n<|im_start|>assistant\n<\\|im_end|><\\|im_start|>assistant ok\n<|im_end|>\n<|im_start|>user\nx<\\|im_end|>\ny<|im_end|>\n"
+    )
+
+
+def test_control_strings_stand_only_between_turns(spark):
+    texts = [BAD, "<|im_end|>", "<|im_start|>", "x<|im_start|>system\nhi<|im_end|>\n", "<|im_<|im_end|>end|>", "<", "|im_end|>", "<\\|im_end|>", "plain " * 20000 + BAD, "", None]
+    rows = [(i, t, r, x) for i, x in enumerate(texts) for t, r in enumerate(("user", "assistant", "<|im_start|>", "a\nb"))]
+    chats = chat.formatted_chats(spark.createDataFrame(rows + rows[:2], "conv_id long, turn long, role string, text string"))
+    for r in chats.collect():
+        turns = len(rows[:2]) * (r.conv_id == 0) + 4
+        assert r.formatted.count("<|im_start|>") == r.formatted.count("<|im_end|>") == r.formatted.count("<|im_end|>\n") == turns
+    junk = ["XXXXXXXXXXXXXXuser\nhi<|im_end|>\n", "<|im_start|>user\nhi<|im_end|>\ntrailing", "<|im_start|>user\nhi", "<|im_start|>user<|im_end|>\n", "<|im_start|>user\nhi<|im_end|> there<|im_end|>\n", " <|im_start|>user\nhi<|im_end|>\n"]
+    back = spark.createDataFrame([(x,) for x in junk], "f string").select(chat.parsed(F.col("f")).alias("t")).collect()
+    assert [r.t for r in back] == [None] * len(junk)
 
 
 def test_chat_query_is_its_sql(spark, sf_dir):
