@@ -4,18 +4,35 @@ from __future__ import annotations
 
 import numpy as np
 
-#: numpy draws hypergeometric counts below this total; beyond, a normal draw stands in for it.
+#: numpy draws hypergeometric counts below this total.
 EXACT_TOTAL = 10**9
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, taken: int) -> int:
-    """Good ones among ``taken`` of ``good + bad``."""
-    total = good + bad
-    if total < EXACT_TOTAL:
-        return int(rng.hypergeometric(good, bad, taken)) if total else 0
-    share = good / total
-    spread = np.sqrt(taken * share * (1 - share) * (total - taken) / max(total - 1, 1))
-    return int(min(max(round(rng.normal(taken * share, spread)), taken - bad, 0), good, taken))
+    """Good ones among ``taken`` of ``good + bad``, drawn exactly at any size.
+
+    Beyond numpy's range the items are ordered at random by a point on the unit interval:
+    the point where a fair half begins cuts good, bad and taken.  How many of the good and of
+    the bad lie below it are binomial draws; if those are fewer than ``taken`` all of them are
+    taken and the rest comes from above, otherwise the draw goes on below.
+    """
+    found = 0
+    while taken:
+        total = good + bad
+        if total < EXACT_TOTAL:
+            return found + int(rng.hypergeometric(good, bad, taken))
+        share = min(max(taken / total, 2.0**-40), 1 - 2.0**-40)
+        below_good, below_bad = int(rng.binomial(good, share)), int(rng.binomial(bad, share))
+        below = below_good + below_bad
+        if below <= taken:
+            found += below_good
+            good, bad, taken = good - below_good, bad - below_bad, taken - below
+        else:
+            # What isn't taken of those below is as random a choice as what is.
+            found += below_good
+            good, bad, surplus = below_good, below_bad, below - taken
+            return found - hypergeometric(rng, good, bad, surplus)
+    return found
 
 
 def communication_matrix(rows: list[int], columns: list[int], seed: int) -> np.ndarray:

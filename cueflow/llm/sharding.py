@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueflow.llm.draws import communication_matrix
-from cueflow.llm.shared import stored
+from cueflow.llm.shared import scratch, stored
 
 #: Rows that a part or a range of a shard holds on average, least and most parts (the counts of
 #: the parts go through the driver: at most MOST_PARTS numbers).
@@ -31,34 +31,54 @@ def _unit(key: Column, salt: int, ranges: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(ranges)).cast("int")
 
 
-def shuffled_into_shards(rows: DataFrame, identity: list[Column], n_shards: int = 24, seed: int = 17) -> DataFrame:
-    """``rows`` with ``shard`` and ``slot``: shard sizes differ by one at most, slots are gapless."""
-    spark = rows.sparkSession
-    keyed = rows.drop("shard", "slot").withColumn("_key", F.xxhash64(*identity, F.lit(seed)))
-    total = rows.count()
+def placements(keys: DataFrame, n_shards: int = 24, seed: int = 17) -> DataFrame:
+    """key, nth, shard and slot for keys(key), a stored table with a row for each row to place.
+
+    Rows of one key are numbered (nth, from 0): which of them has which number makes no
+    difference.  Shard sizes differ by one at most, slots are gapless.
+    """
+    spark = keys.sparkSession
+    # Copies of a key are counted first and dealt by their number: one that repeats without end is no single part.
+    copies = keys.groupBy("key").agg(F.count("*").alias("copies"))
+    keyed = copies.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("nth")).withColumn("at", F.xxhash64("key", "nth", F.lit(seed)))
+    total = keys.count()
     parts = min(MOST_PARTS, max(LEAST_PARTS, -(-total // PART_ROWS)))
-    keyed = keyed.withColumn("_part", _unit(F.col("_key"), 1, parts))
-    counts = dict(keyed.groupBy("_part").count().collect())
+    keyed = keyed.withColumn("part", _unit(F.col("at"), 1, parts))
+    counts = dict(keyed.groupBy("part").count().collect())
     per_part = [counts.get(p, 0) for p in range(parts)]
     shards = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
     matrix = communication_matrix(per_part, shards, seed).cumsum(axis=1)
-    cuts = stored(spark.createDataFrame([(p, [int(x) for x in matrix[p]]) for p in range(parts)], "_part int, _cuts array<long>"), "cuts")
+    cuts = stored(spark.createDataFrame([(p, [int(x) for x in matrix[p]]) for p in range(parts)], "part int, cuts array<long>"), "cuts")
 
     # Permute each part, then cut it along its counts.
-    local = Window.partitionBy("_part").orderBy(F.xxhash64("_key", F.lit(2)), "_key")
-    placed = keyed.withColumn("_rank", F.row_number().over(local) - 1).join(cuts, "_part")
-    placed = placed.withColumn("shard", F.expr("size(filter(_cuts, c -> c <= _rank))").cast("int")).drop("_cuts", "_rank", "_part")
+    local = Window.partitionBy("part").orderBy(F.xxhash64("at", F.lit(2)), "at")
+    placed = keyed.withColumn("rank", F.row_number().over(local) - 1).join(cuts, "part")
+    placed = placed.select("key", "nth", "at", F.expr("size(filter(cuts, c -> c <= rank))").cast("int").alias("shard"))
 
     # Permute each shard, range by range of a new random key.
     ranges = min(MOST_RANGES, max(1, -(-total // n_shards // RANGE_ROWS)))
-    placed = placed.withColumn("_range", _unit(F.col("_key"), 3, ranges))
-    sizes = placed.groupBy("shard", "_range").count()
-    before = F.sum("count").over(Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = stored(sizes.select("shard", "_range", F.coalesce(before, F.lit(0)).alias("_before")), "offsets")
-    again = Window.partitionBy("shard", "_range").orderBy(F.xxhash64("_key", F.lit(4)), "_key")
-    slotted = placed.withColumn("_at", F.row_number().over(again) - 1).join(offsets, ["shard", "_range"])
-    columns = [F.col(f"`{c}`") for c in rows.columns if c not in ("shard", "slot")]
-    return slotted.select(*columns, "shard", (F.col("_before") + F.col("_at")).cast("long").alias("slot"))
+    placed = placed.withColumn("range", _unit(F.col("at"), 3, ranges))
+    sizes = placed.groupBy("shard", "range").count()
+    before = F.sum("count").over(Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = stored(sizes.select("shard", "range", F.coalesce(before, F.lit(0)).alias("before")), "offsets")
+    again = Window.partitionBy("shard", "range").orderBy(F.xxhash64("at", F.lit(4)), "at")
+    slotted = placed.withColumn("nr", F.row_number().over(again) - 1).join(offsets, ["shard", "range"])
+    return slotted.select("key", "nth", "shard", (F.col("before") + F.col("nr")).cast("long").alias("slot"))
+
+
+def shuffled_into_shards(rows: DataFrame, identity: list[Column], n_shards: int = 24, seed: int = 17) -> DataFrame:
+    """``rows`` with ``shard`` and ``slot``: keys are permuted first, so rows move once."""
+    carried = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.xxhash64(*identity, F.lit(seed)).alias("key"))
+    with scratch(rows.sparkSession):
+        keys = stored(carried.select("key"), "shard-keys")
+        placed = stored(placements(keys, n_shards, seed), "placements", result=True)
+        repeated = not placed.where("nth > 0").isEmpty()
+    if repeated:
+        numbered = carried.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("key")).cast("long") - 1)
+    else:
+        numbered = carried.withColumn("nth", F.lit(0).cast("long"))
+    columns = [F.col("row")[c].alias(c) for c in rows.columns if c not in ("shard", "slot")]
+    return numbered.join(placed, ["key", "nth"]).select(*columns, "shard", "slot")
 
 
 def document_shards(documents: DataFrame, n_shards: int = 24, seed: int = 17) -> DataFrame:
