@@ -95,7 +95,9 @@ def drawn_blocks(targets: DataFrame, seed: int = 23, n_shards: int = N_SHARDS, b
         for i, (sid, blocks, _) in enumerate(recipe) for shard in range(n_shards) if matrix[shard, i]
     ]
     plan = spark.createDataFrame(plan, "sid int, shard int, blocks long, start long, count long")
-    pieces = plan.withColumn("piece", F.explode(F.expr(f"sequence(0L, (count - 1) div {SLOTS_AT_ONCE})"))).repartition("sid", "shard", "piece")
+    # As many tasks as the slots need: a plan of few rows would be merged into one.
+    tasks = max(1, -(-total // (SLOTS_AT_ONCE * 16)))
+    pieces = plan.withColumn("piece", F.explode(F.expr(f"sequence(0L, (count - 1) div {SLOTS_AT_ONCE})"))).repartition(tasks, "sid", "shard", "piece")
     low = F.col("start") + F.col("piece") * SLOTS_AT_ONCE
     high = F.least(F.col("start") + F.col("count"), low + SLOTS_AT_ONCE) - 1
     slots = pieces.select("sid", "shard", "blocks", F.explode(F.sequence(low, high)).alias("j"))
@@ -136,5 +138,5 @@ def mixed(documents: DataFrame, seed: int = 23, block: int = BLOCK) -> DataFrame
     copies = taken_words(rows, seed, block).withColumn("_copies", (F.floor(share) + (chance < share - F.floor(share)).cast("int")).cast("int"))
     # Repeated rows have one key: the mean number of their copies goes to each of them.
     by_key = stored(copies.groupBy("_key").agg(F.round(F.avg("_copies")).cast("int").alias("_copies")).where("_copies > 0"), "copies")
-    columns = [F.col(f"`{c}`") for c in documents.columns]
-    return documents.withColumn("_key", key).join(by_key, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)
+    carried = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), key.alias("_key"))
+    return carried.join(by_key, "_key").select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
