@@ -45,7 +45,7 @@ def documents(spark, rows):
 @pytest.fixture(scope="session")
 def clashing(documents):
     """The same rows with further columns named as the operators name theirs."""
-    names = ["node", "token", "text_hash", "size", "shard", "slot", "pos", "line", "h", "kept", "cell", "distance", "band", "root", "taken", "target", "n", "a", "b", "key", "word", "n_words", "_key", "window"]
+    names = ["node", "token", "text_hash", "size", "shard", "slot", "pos", "line", "h", "kept", "cell", "distance", "band", "root", "taken", "target", "n", "a", "b", "key", "word", "n_words", "_key", "window", "_part", "_range", "_at", "_copies", "part", "range", "nth", "row", "worded", "kept_id"]
     from pyspark.sql import functions as F
 
     return documents.select("*", *[F.lit("clash").alias(x) for x in names])

@@ -1,5 +1,6 @@
 """The operators over documents against brute force."""
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -7,7 +8,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from cueflow.llm.decontamination import contaminated, decontaminated
-from cueflow.llm.draws import communication_matrix, permuted
+from cueflow.llm.draws import communication_matrix, hypergeometric, permuted
 from cueflow.llm.lines import deduplicated_lines, without_repeated_lines
 from cueflow.llm.mixing import mixed, mixture
 from cueflow.llm.ngram_join import ngram_components, one_of_each_component
@@ -71,6 +72,14 @@ def test_one_of_each_component(documents, rows, clashing, nothing):
     assert one_of_each_component(nothing).count() == 0
 
 
+def test_repeated_rows_of_one_component(spark):
+    """Rows without words all stay, whatever else is repeated."""
+    for text_rows in (1, 2):
+        rows = [(1, None), (1, None), (3, " ")] + [(2, "some text")] * text_rows
+        kept = one_of_each_component(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id, r.text or "") for r in kept) == [(1, ""), (1, ""), (2, "some text"), (3, " ")]
+
+
 def test_large_groups_of_near_copies(spark):
     """A bucket of hundreds whose members link through others only."""
     base = [f"w{i}" for i in range(120)]
@@ -117,6 +126,35 @@ def test_common_lines_are_no_passages(spark):
     assert got == {100, 101, 102}
 
 
+def test_recall_of_near_passages(spark):
+    """Planted passages of 100 words with changed words: pairs, and groups of 6 and 40, against brute force."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    words = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    rows, members, passages_of = [], {}, {}
+    for size, groups in ((2, 60), (6, 20), (40, 3)):
+        for g in range(groups):
+            passage = words(100)
+            for _ in range(size):
+                near = list(passage)
+                for _ in range(rng.randint(0, 1)):
+                    near[rng.randrange(12, 88)] = rng.choice(vocabulary)
+                members.setdefault((size, g), []).append(len(rows))
+                passages_of[len(rows)] = near
+                rows.append((len(rows), " ".join(words(rng.randint(20, 120)) + near + words(rng.randint(20, 120)))))
+    clean = [(10_000 + i, " ".join(words(200))) for i in range(60)]
+    found = {r.doc_id for r in repeated_passages(spark.createDataFrame(rows + clean, "doc_id long, text string")).collect()}
+    shingles = {i: {tuple(w[k : k + 5]) for k in range(96)} for i, w in passages_of.items()}
+    recall = {}
+    for (size, _), ids in members.items():
+        for i in ids:
+            if any(len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j]) for j in ids if j != i):
+                recall.setdefault(size, []).append(i in found)
+    recall = {k: sum(v) / len(v) for k, v in recall.items()}
+    assert min(recall.values()) >= 0.9, recall
+    assert all(i < 10_000 for i in found)
+
+
 def test_quality_statistics(documents, rows, clashing, nothing):
     want = Counter()
     for d, text, *_ in rows:
@@ -198,6 +236,31 @@ def test_shards(documents, rows, clashing, nothing):
     full = sharded(documents)
     assert full.columns == [*documents.columns, "shard", "slot"] and full.count() == len(rows)
     assert document_shards(nothing).count() == 0 and sharded(nothing).count() == 0
+    # Columns named as the operator's own come through as they are.
+    own = [c for c in clashing.columns if c not in ("shard", "slot")]
+    out = sharded(clashing)
+    assert out.columns == [*own, "shard", "slot"] and out.where("_key = 'clash' and _part = 'clash' and row = 'clash'").count() == len(rows)
+    assert Counter(tuple(r) for r in out.select(*documents.columns, "shard", "slot").collect()) == Counter(tuple(r) for r in full.collect())
+    mix = mixed(clashing)
+    assert mix.columns == clashing.columns and mix.where("_key = 'clash' and _copies = 'clash'").count() == mixed(documents).count()
+
+
+def test_a_row_repeated_without_end(spark):
+    out = sharded(spark.range(5000).selectExpr("7L AS doc_id", "'x' AS text")).groupBy("shard").agg(F.count("*").alias("c"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m")).collect()
+    assert len(out) == 24 and all(r.c == r.d == r.m + 1 and r.c in (208, 209) for r in out)
+
+
+def test_places_are_uniform(spark):
+    """Over many seeds each row falls into each shard equally often, whatever its part."""
+    rows = spark.range(240).selectExpr("id AS doc_id", "'x' AS text")
+    hits = Counter()
+    for seed in range(12):
+        from cueflow.llm.sharding import shuffled_into_shards
+
+        for r in shuffled_into_shards(rows, [F.col("doc_id")], 4, seed).collect():
+            hits[r.doc_id % 4, r.shard] += 1
+    # 180 expected in each of the 16 cells.
+    assert sum((n - 180) ** 2 / 180 for n in hits.values()) < 30 and len(hits) == 16
 
 
 def test_draws():
@@ -207,6 +270,14 @@ def test_draws():
     assert matrix.sum(axis=0).tolist() == [10, 4, 6] and matrix.sum(axis=1).tolist() == [5, 0, 7, 8]
     huge = communication_matrix([10**10, 10**10], [7 * 10**9, 13 * 10**9], 1)
     assert huge.sum(axis=1).tolist() == [10**10, 10**10] and huge.sum(axis=0).tolist() == [7 * 10**9, 13 * 10**9]
+    # Beyond numpy's range the draws keep the exact mean and variance.
+    good, bad, taken = 6 * 10**9, 4 * 10**9, 3 * 10**9
+    drawn = np.array([hypergeometric(np.random.default_rng(i), good, bad, taken) for i in range(3000)], float)
+    mean, total = taken * 0.6, good + bad
+    variance = taken * 0.6 * 0.4 * (total - taken) / (total - 1)
+    assert abs(drawn.mean() - mean) < 4 * (variance / len(drawn)) ** 0.5
+    assert 0.9 < drawn.var() / variance < 1.1
+    assert all(hypergeometric(np.random.default_rng(i), 10**10, 5, 10**10 + 3) in range(10**10 - 2, 10**10 + 1) for i in range(20))
     for size in (1, 2, 3, 10, 257):
         got = permuted(np.arange(size), np.full(size, size), np.full(size, 99))
         assert sorted(got.tolist()) == list(range(size))
