@@ -91,7 +91,8 @@ def _without(state: Column, pattern: str, replacement: str, opening: bool) -> Co
         cleaned = F.regexp_replace(s["text"], pattern, replacement)
         if opening:
             cleaned = F.when(s["text"].rlike("^" + pattern), capitalize_first(cleaned)).otherwise(cleaned)
-        return _counted(cleaned, s["removed"] + F.regexp_count(s["text"], F.lit(pattern)))
+        # Most texts hold none: they are looked through once.
+        return F.when(s["text"].rlike(pattern), _counted(cleaned, s["removed"] + F.regexp_count(s["text"], F.lit(pattern)))).otherwise(s)
 
     return let(state, step)
 
@@ -123,7 +124,7 @@ def _collapsed(state: Column, n: int) -> Column:
     count = lambda t: F.regexp_count(t, F.lit(r"(?U)\w+"))
     pair = lambda s: F.struct(s["text"].alias("text"), s["removed"].alias("removed"), F.regexp_replace(s["text"], repeat_pattern(n), "$1").alias("new"))
     same = lambda s: _counted(s["new"], s["removed"] + F.when(s["new"] == s["text"], 0).otherwise(F.floor((count(s["text"]) - count(s["new"])) / n)))
-    return let(let(state, pair), same)
+    return let(state, lambda s: F.when(s["text"].rlike(repeat_pattern(n)), let(pair(s), same)).otherwise(s))
 
 
 def dedupe_repeats(text: Column) -> Column:

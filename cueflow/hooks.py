@@ -61,13 +61,17 @@ def synthesize_with(items: DataFrame, fn: Callable[[str, str, str], str], cache:
 
 
 def per_clip(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``fn`` over each clip's rows; a clip that fails gives no rows."""
+    """``fn`` over each clip's rows, with ``error``; a clip that fails gives one row, with its ids and what it raised."""
 
     def safe(frame: pd.DataFrame) -> pd.DataFrame:
-        made, _ = _attempted(fn, 1, frame)
-        return made if made is not None else pd.DataFrame(columns=[part.split()[0] for part in schema.split(",")])
-
-    return df.groupBy("video_id", "clip_index").applyInPandas(safe, schema)
+        names = [part.split()[0] for part in schema.split(",")]
+        made, error = _attempted(lambda rows: fn(rows)[names], 1, frame)
+        if error is None:
+            return made.assign(error=None)
+        known = {c: frame[c].iloc[0] for c in ("video_id", "clip_index") if c in names}
+        return pd.DataFrame([{**{c: None for c in names}, **known, "error": error}])
+
+    return df.groupBy("video_id", "clip_index").applyInPandas(safe, f"{schema}, error string")
 
 
 class ProgressListener(StreamingQueryListener):

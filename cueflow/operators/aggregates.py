@@ -44,7 +44,7 @@ def drm_flags(attempts: DataFrame) -> DataFrame:
     """
     first_ok = attempts.where("ok").groupBy("video_id").agg(F.min("attempt_no").alias("first_ok"))
     counted = attempts.join(first_ok, "video_id", "left").where((F.col("first_ok").isNull() | (F.col("attempt_no") < F.col("first_ok"))) & ~F.col("ok") & F.col("client").isin(*FALLBACK_CLIENTS))
-    drm = F.coalesce(F.contains(F.lower("message"), F.lit("drm")), F.lit(False))
+    drm = F.coalesce(F.contains(F.lower("message"), F.lit("drm protected")), F.lit(False))
     flags = counted.groupBy("video_id").agg(F.bool_or(drm & (F.col("client") != "tv")).alias("drm"), F.bool_or(drm & (F.col("client") == "tv")).alias("tv_drm"))
     return attempts.select("video_id").distinct().join(flags, "video_id", "left").fillna(False, ["drm", "tv_drm"])
 

@@ -23,7 +23,8 @@ from cueflow.sources.readers import info_tracks
 
 def clean_corpus(cues: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cleaned cues (blank ones dropped) and the totals of what went, per clip."""
-    cleaned = cues.withColumn("cleaned", clean_cue(F.col("text")))
+    # Generated, so that the filter on its result doesn't evaluate the chain again.
+    cleaned = cues.select("*", F.explode(F.array(clean_cue(F.col("text")))).alias("cleaned"))
     return cleaned.where("not cleaned.dropped").withColumn("text", F.col("cleaned.text")).drop("cleaned"), cleaning_totals(cleaned)
 
 

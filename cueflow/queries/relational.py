@@ -180,7 +180,7 @@ def a5(m: Model) -> DataFrame:
     return A.gender_from_pitch(rows).select("video_id", "cluster_id", "gender")
 
 
-_FLAGS = """flags AS (SELECT a.video_id, bool_or(lower(message) LIKE '%drm%' AND client <> 'tv') AS drm, bool_or(lower(message) LIKE '%drm%' AND client = 'tv') AS tv_drm FROM attempts a
+_FLAGS = """flags AS (SELECT a.video_id, bool_or(lower(message) LIKE '%drm protected%' AND client <> 'tv') AS drm, bool_or(lower(message) LIKE '%drm protected%' AND client = 'tv') AS tv_drm FROM attempts a
     LEFT JOIN (SELECT video_id, min(attempt_no) AS first_ok FROM attempts WHERE ok GROUP BY 1) f USING (video_id) WHERE (first_ok IS NULL OR attempt_no < first_ok) AND NOT ok AND client IN ('tv', 'ios', 'android') GROUP BY 1)"""
 
 

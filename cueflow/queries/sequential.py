@@ -276,7 +276,7 @@ def c6(m: Model) -> DataFrame:
     return chosen.join(parts["diagnosis"].select("video_id", "diagnosis"), "video_id", "left")
 
 
-@query("h3_assigned_segments_per_clip", sql("cues", "segments", body="SELECT video_id, count(*) AS cues, count(DISTINCT CASE WHEN end_ms > start_ms THEN seg_idx END) AS segments FROM runs GROUP BY 1"))
+@query("h3_assigned_segments_per_clip", sql("cues", "segments", body="SELECT video_id, count(*) AS cues, count(DISTINCT CASE WHEN end_ms > start_ms THEN seg_idx END) AS segments, NULL::VARCHAR AS error FROM runs GROUP BY 1"))
 def h3(m: Model) -> DataFrame:
     from cueflow.hooks import per_clip
 
