@@ -103,9 +103,9 @@ def f12(m: Model) -> DataFrame:
 
 
 @query("f13_capitalize_first", r"""SELECT doc_id, CASE WHEN regexp_matches(t, '^[ \t]*\p{L}') THEN regexp_extract(t, '^[ \t]*') || upper(substr(t, length(regexp_extract(t, '^[ \t]*')) + 1, 1)) || substr(t, length(regexp_extract(t, '^[ \t]*')) + 2) ELSE t END AS shown
-    FROM (SELECT doc_id, '  ' || lower(substr(text, 1, 40)) AS t FROM documents)""")
+    FROM (SELECT doc_id, '  ' || lower(text) AS t FROM documents)""")
 def f13(m: Model) -> DataFrame:
-    return m.table("documents").select("doc_id", X.capitalize_first(F.concat(F.lit("  "), F.lower(F.substring("text", 1, 40)))).alias("shown"))
+    return m.table("documents").select("doc_id", X.capitalize_first(F.concat(F.lit("  "), F.lower("text"))).alias("shown"))
 
 
 @query("f14_clean_cue")

@@ -290,11 +290,12 @@ def _segment_counts(frame):
     return pd.DataFrame({"video_id": frame["video_id"].iloc[:1], "cues": [len(frame)], "segments": [frame["segment"].nunique()]})
 
 
-@query("h1_translate_with", "SELECT conv_id, turn, CASE WHEN length(text) % 5 = 0 THEN text ELSE reverse(text) END AS translated, length(text) % 5 = 0 AS failed FROM conversations WHERE trim(text) = text")
+@query("h1_translate_with", r"""SELECT conv_id, turn, CASE WHEN bare = '' OR length(bare) % 5 = 0 THEN text ELSE reverse(bare) END AS translated, bare <> '' AND length(bare) % 5 = 0 AS failed
+    FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS bare FROM conversations)""")
 def h1(m: Model) -> DataFrame:
     from cueflow.hooks import translate_with
 
-    rows = m.table("conversations").where("trim(text) = text").select("conv_id", "turn", "text")
+    rows = m.table("conversations").select("conv_id", "turn", "text")
     return translate_with(rows, _shout).select("conv_id", "turn", "translated", F.col("error").isNotNull().alias("failed"))
 
 
@@ -305,9 +306,9 @@ def _shout(text: str) -> str:
     return text[::-1]
 
 
-@query("h2_synthesize_with", "SELECT conv_id, turn, 'wav:' || md5(trim(text)) AS result FROM conversations WHERE trim(text) = text")
+@query("h2_synthesize_with", r"SELECT conv_id, turn, CASE WHEN bare <> '' THEN 'wav:' || md5(bare) END AS result FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS bare FROM conversations)")
 def h2(m: Model) -> DataFrame:
     from cueflow.hooks import synthesize_with
 
-    rows = m.table("conversations").where("trim(text) = text").select("conv_id", "turn", "text", F.lit("female").alias("voice"), F.lit("+0Hz").alias("pitch"))
+    rows = m.table("conversations").select("conv_id", "turn", "text", F.lit("female").alias("voice"), F.lit("+0Hz").alias("pitch"))
     return synthesize_with(rows, _synthesized).select("conv_id", "turn", "result")
