@@ -127,18 +127,18 @@ def test_common_lines_are_no_passages(spark):
 
 
 def test_recall_of_near_passages(spark):
-    """Planted passages of 100 words with changed words: pairs, and groups of 6 and 40, against brute force."""
+    """Planted passages of 100 words, a word changed in each: pairs without an equal run of 50, and groups of 6 and 40."""
     rng = random.Random(12)
     vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
     words = lambda n: [rng.choice(vocabulary) for _ in range(n)]
     rows, members, passages_of = [], {}, {}
-    for size, groups in ((2, 60), (6, 20), (40, 3)):
+    for size, groups in ((2, 100), (6, 20), (40, 3)):
         for g in range(groups):
             passage = words(100)
-            for _ in range(size):
+            for k in range(size):
+                # Pairs have no run of 50 equal words; in groups some have.
                 near = list(passage)
-                for _ in range(rng.randint(0, 1)):
-                    near[rng.randrange(12, 88)] = rng.choice(vocabulary)
+                near[rng.randint(35, 49) if k % 2 else rng.randint(51, 65)] = f"z{len(rows)}"
                 members.setdefault((size, g), []).append(len(rows))
                 passages_of[len(rows)] = near
                 rows.append((len(rows), " ".join(words(rng.randint(20, 120)) + near + words(rng.randint(20, 120)))))
