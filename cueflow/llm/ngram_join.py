@@ -258,13 +258,14 @@ def ngram_links(documents: DataFrame, k: int = 3, percent: int = 90) -> tuple[Da
     by_token = postings.join(apart, "token").select(F.xxhash64("token", F.lit("token")).alias("bucket"), "g")
     by_group = mixed.where("low <> high").select(F.xxhash64("g", F.lit("group")).alias("bucket"), "g")
     rows = stored(by_token.unionByName(by_group).join(members.select("g", F.col("node").alias("x")), "g").select("bucket", "x"), "buckets")
-    wanted = rows.select(F.col("x").alias("node")).distinct()
+    wanted = stored(rows.select(F.col("x").alias("node")).distinct(), "apart")
+    left = stored(sets.join(wanted, "node", "left_semi"), "apart-sets")
     marks = stored(members.select("node", "n").join(wanted, "node").join(classes.select("node", "parity"), "node"), "marks")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return _verified(_near_parity(pairs.join(star, ["a", "b"], "left_anti"), marks, percent), sets, percent)
+        return _verified(_near_parity(pairs.join(star, ["a", "b"], "left_anti"), marks, percent), left, percent)
 
-    links = bucket_links(rows, links, verified, lambda pairs: _deltas(pairs, sets), percent, found)
+    links = bucket_links(rows, links, verified, lambda pairs: _deltas(pairs, left), percent, found)
     return nodes, connected_components(links)
 
 

@@ -1,8 +1,9 @@
 """Links inside large buckets of near copies, without all pairs.
 
 Many sets of nearly equal content share a bucket, and some of them only link through
-others.  Each bucket elects a centre, and every member x is described by its difference
-from it: delta(x), the elements that only one of the two sets has, d(x) in number.  Two
+others.  First, STARS times, each bucket's members are compared with one centre of another
+component, which joins most of what links.  In what is still apart each bucket elects a
+centre, and every member x is described by its difference from it: delta(x), the elements that only one of the two sets has, d(x) in number.  Two
 members differ in d(x) + d(y) - 2 |delta(x) & delta(y)| elements, so
 
 * members that link with the centre are in its component;
@@ -30,6 +31,8 @@ from cueflow.llm.shared import connected_components, stored
 
 #: Buckets of up to so many members compare all pairs; rounds until the rest is taken pair by pair; blocks of large buckets.
 PAIRED, ROUNDS, BLOCKS = 32, 8, 16
+#: Rounds of comparisons with one centre before any other.
+STARS = 2
 
 
 def allowed(n: Column | str, m: Column | str, percent: int) -> Column:
@@ -64,6 +67,15 @@ def bucket_links(rows: DataFrame, links: DataFrame, verified: Callable[[DataFram
     """
     rows = rows.select("bucket", "x")
     roots = connected_components(links) if roots is None else roots
+    for level in range(STARS):
+        rows = stored(open_buckets(rows, roots), "open-buckets")
+        if rows.isEmpty():
+            return links
+        centre = rows.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("x", F.lit(-1 - level)).alias("o"), "x", "root")).alias("o")).select("bucket", F.col("o.x").alias("c0"), F.col("o.root").alias("r0"))
+        star = rows.join(centre, "bucket").where("root <> r0").select(F.least("x", "c0").alias("a"), F.greatest("x", "c0").alias("b")).distinct()
+        links = links.unionByName(stored(verified(star), "star-links"))
+        roots = connected_components(links)
+        rows = rows.select("bucket", "x")
     for level in range(ROUNDS + 1):
         rows = stored(open_buckets(rows, roots), "open-buckets")
         count, pairs = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("c") - 1), F.lit(0)) / 2).first()
