@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from cueflow.llm import wordhash
 from cueflow.llm.shared import connected_components, scratch, stored
-from cueflow.llm.stars import bucket_links
+from cueflow.llm.stars import bucket_links, near_parity
 
 #: The pool's part of the fingerprint range, as a multiple of (1 - threshold).
 POOL = 1.6
@@ -170,16 +170,6 @@ def _may_link(percent: int) -> Column:
     )
 
 
-def _near_parity(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose parity signatures allow a link: sets differ in as many shingles as bits at least.
-
-    marks(node, n, parity).
-    """
-    both = pairs.join(_renamed(marks, node="a", n="n", parity="p"), "a").join(_renamed(marks, node="b", n="m", parity="q"), "b")
-    differing = " + ".join(f"bit_count(p[{i}] ^ q[{i}])" for i in range(WORDS))
-    return both.where(f"{differing} <= n + m - 2 * (((n + m) * {percent} + {99 + percent}) div {100 + percent})").select("a", "b")
-
-
 def _renamed(df: DataFrame, **names: str) -> DataFrame:
     """Only the named columns, under new names."""
     return df.select(*[F.col(old).alias(new) for old, new in names.items()])
@@ -260,10 +250,10 @@ def ngram_links(documents: DataFrame, k: int = 3, percent: int = 90) -> tuple[Da
     rows = stored(by_token.unionByName(by_group).join(members.select("g", F.col("node").alias("x")), "g").select("bucket", "x"), "buckets")
     wanted = stored(rows.select(F.col("x").alias("node")).distinct(), "apart")
     left = stored(sets.join(wanted, "node", "left_semi"), "apart-sets")
-    marks = stored(members.select("node", "n").join(wanted, "node").join(classes.select("node", "parity"), "node"), "marks")
+    marks = stored(_renamed(members.join(wanted, "node").join(classes.select("node", "parity"), "node"), node="x", n="n", parity="parity"), "marks")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return _verified(_near_parity(pairs.join(star, ["a", "b"], "left_anti"), marks, percent), left, percent)
+        return _verified(near_parity(pairs.join(star, ["a", "b"], "left_anti"), marks, percent, WORDS), left, percent)
 
     links = bucket_links(rows, links, verified, lambda pairs: _deltas(pairs, left), percent, found)
     return nodes, connected_components(links)

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from cueflow.llm.shared import connected_components, stored
 
-#: Buckets of up to so many members compare all pairs; rounds until the rest is taken pair by pair; blocks of large buckets.
-PAIRED, ROUNDS, BLOCKS = 32, 8, 16
+#: Buckets of up to so many members compare all pairs; rounds until the rest is taken pair by pair; members in a block of a large bucket.
+PAIRED, ROUNDS, BLOCK = 32, 8, 1024
 #: Rounds of comparisons with one centre before any other.
 STARS = 2
 
@@ -40,6 +40,17 @@ def allowed(n: Column | str, m: Column | str, percent: int) -> Column:
     return F.expr(f"(({n}) + ({m})) * {100 - percent} div {100 + percent}")
 
 
+def near_parity(pairs: DataFrame, marks: DataFrame, percent: int, words: int) -> DataFrame:
+    """The pairs (a, b) whose parity signatures allow a link: sets differ in as many elements as bits at least.
+
+    marks(x, n, parity): sizes of the sets, and ``words`` 64-bit words, of which each element flips one bit.
+    """
+    side = lambda x, n, p: marks.select(F.col("x").alias(x), F.col("n").alias(n), F.col("parity").alias(p))
+    both = pairs.join(side("a", "n", "p"), "a").join(side("b", "m", "q"), "b")
+    differing = F.expr(" + ".join(f"bit_count(p[{i}] ^ q[{i}])" for i in range(words)))
+    return both.where(differing <= allowed("n", "m", percent)).select("a", "b")
+
+
 def open_buckets(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """rows(bucket, x, ...) with ``root`` and ``c`` (members), without buckets whose members are in one component."""
     rooted = rows.join(roots.select(F.col("node").alias("x"), "root"), "x", "left").withColumn("root", F.coalesce("root", "x"))
@@ -50,10 +61,11 @@ def open_buckets(rows: DataFrame, roots: DataFrame) -> DataFrame:
 def all_pairs(rows: DataFrame) -> DataFrame:
     """Distinct pairs (a < b) of a bucket's members in different components.
 
-    Of buckets with over PAIRED members one side is dealt over blocks, the other copied to each.
+    Of buckets with over BLOCK members one side is dealt over blocks, the other copied to each.
     """
-    blocks = F.when(F.col("c") > PAIRED, F.sequence(F.lit(0), F.lit(BLOCKS - 1))).otherwise(F.array(F.lit(0)))
-    block = F.when(F.col("c") > PAIRED, F.pmod(F.xxhash64("x"), F.lit(BLOCKS)).cast("int")).otherwise(F.lit(0))
+    n = F.ceil(F.col("c") / BLOCK)
+    blocks = F.sequence(F.lit(0).cast("long"), n - 1)
+    block = F.pmod(F.xxhash64("x"), n)
     left = rows.select("bucket", F.col("x").alias("a"), F.col("root").alias("ra"), block.alias("block"))
     right = rows.select("bucket", F.col("x").alias("b"), F.col("root").alias("rb"), F.explode(blocks).alias("block"))
     return left.join(right, ["bucket", "block"]).where("a < b and ra <> rb").select("a", "b").distinct()
