@@ -155,6 +155,24 @@ def test_recall_of_near_passages(spark):
     assert all(i < 10_000 for i in found)
 
 
+def test_near_passages_of_large_groups(spark):
+    """Originals of 60 words and 21 copies each, a word changed at another place: copies are alike enough to their original only."""
+    rng = random.Random(17)
+    words = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    around = lambda x: " ".join(words(80) + x + words(80))
+    rows, copies = [], set()
+    for _ in range(12):
+        original = words(60)
+        rows.append((len(rows), around(original)))
+        for at in range(20, 41):
+            copies.add(len(rows))
+            rows.append((len(rows), around(original[:at] + words(1) + original[at + 1 :])))
+    clean = [(len(rows) + i, around(words(60))) for i in range(50)]
+    out = repeated_passages(spark.createDataFrame(rows + clean, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in out} <= set(range(len(rows)))
+    assert sum(r.doc_id in copies for r in out) >= 0.9 * len(copies)
+
+
 def test_quality_statistics(documents, rows, clashing, nothing):
     want = Counter()
     for d, text, *_ in rows:
