@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cueflow.llm.bpe import token_digests
 from cueflow.llm.chat import chat_digests, formatted_chats
 from cueflow.llm.decontamination import contaminated
+from cueflow.llm.hard_negatives import mined
 from cueflow.llm.lines import deduplicated_lines
 from cueflow.llm.mixing import mixture
 from cueflow.llm.ngram_join import ngram_components
 from cueflow.llm.passages import repeated_passages
+from cueflow.llm.prefix_trie import prefix_trie
 from cueflow.llm.quality import STATS, judged
 from cueflow.llm.secrets import scanned
 from cueflow.llm.sharding import document_shards
@@ -66,11 +69,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(_table(spark, sf_dir, "documents")).select("doc_id", *STATS, "base_failed", "kept", F.round("distance", 3).alias("distance"))
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mined(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
         op1_ngram_jaccard_join, op2_substring_dedup, op3_chat_formatting, op4_source_mixing, op5_sharding,
         op6_line_dedup, op7_warc_derivatives, op8_secret_scan, op9_benchmark_decontamination, op10_quality_rules,
+        op11_conversation_prefix_trie, op12_hard_negative_mining, op13_byte_level_bpe,
     )
 }
 
@@ -95,4 +111,47 @@ ORACLE_SQL: dict[str, str] = {
             sum(n + length('<|im_start|><|im_end|>') + 2)::BIGINT AS formatted_chars
         FROM shown GROUP BY conv_id
     """,
+    # The hash of a prefix is the hash of its turns' chain; a node's subtree is found by the prefixes of the conversations that name its nodes.
+    "op11_conversation_prefix_trie": r"""
+        WITH RECURSIVE turns AS (
+            SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text)) AS k
+            FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+        ), ids AS (
+            SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(conv_id::VARCHAR, '.'), lambda x: ascii(x)::BIGINT)), lambda c, b:
+                list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 6 AS h
+            FROM (SELECT DISTINCT conv_id FROM turns)
+        ), rebuilt AS (
+            SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS d FROM (
+                SELECT conv_id, k, role, text FROM turns JOIN ids USING (conv_id) WHERE k > h
+                UNION ALL SELECT i.conv_id, k, role, text FROM ids i JOIN turns t ON t.conv_id = i.conv_id - i.conv_id % 100 AND k <= h)
+        ), chained AS (
+            SELECT conv_id, 0::BIGINT AS d, ''::VARCHAR AS h, NULL::VARCHAR AS parent, 0::BIGINT AS chars FROM ids
+            UNION ALL SELECT r.conv_id, r.d, sha256(c.h || length(role) || ':' || role || text), c.h, length(text) FROM chained c JOIN rebuilt r ON r.conv_id = c.conv_id AND r.d = c.d + 1
+        ), nodes AS (
+            SELECT h, d, min(parent) AS parent, min(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs FROM chained GROUP BY h, d
+        ), counted AS (
+            SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN (SELECT parent, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY parent, d) c ON c.parent = n.h AND c.d = n.d
+        ), below AS (
+            SELECT c.h, c.d, count(*) FILTER (n.n_children = 0) AS n_leaves, sum((n.n_convs - 1) * n.chars)::BIGINT AS saved_tokens
+            FROM counted n JOIN chained c ON c.conv_id = n.conv_id AND c.d <= n.d GROUP BY c.h, c.d
+        ), ends AS (
+            SELECT h, d, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT * FROM chained QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY d DESC) = 1) GROUP BY h, d
+        )
+        SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, b.n_leaves, b.saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+        FROM counted n JOIN below b ON b.h = n.h AND b.d = n.d LEFT JOIN nodes p ON p.h = n.parent AND p.d = n.d - 1 LEFT JOIN ends e ON e.h = n.h AND e.d = n.d
+    """,
+    "op12_hard_negative_mining": r"""
+        WITH vectors AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS alike, list_inner_product(a.v, b.v)::BIGINT AS score
+            FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+        ), positives AS (
+            SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+        )
+        SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)::INT AS rank, other AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN scored USING (anchor_id) WHERE NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+        QUALIFY rank <= 3
+    """,
 }
