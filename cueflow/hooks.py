@@ -1,4 +1,4 @@
-"""Where user code plugs in: translation, synthesis, per-clip logic, live callbacks.
+"""Where user code plugs in: translation, synthesis, per-clip logic.  Live callbacks are in ``streaming.tables``.
 
 Hooks work on distinct pending work only, keep one bad row from failing the rest, and
 return an error column instead of raising.
@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQueryListener
 
 from cueflow.operators.joins import fan_out_results, pending_work
 
@@ -72,23 +71,3 @@ def per_clip(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema:
         return pd.DataFrame([{**{c: None for c in names}, **known, "error": error}])
 
     return df.groupBy("video_id", "clip_index").applyInPandas(safe, f"{schema}, error string")
-
-
-class ProgressListener(StreamingQueryListener):
-    """Passes each micro-batch's row count to ``on_progress``, and the end to ``on_done``."""
-
-    def __init__(self, on_progress: Callable[[str, int], None], on_done: Callable[[str, str | None], None] | None = None):
-        self.on_progress, self.on_done = on_progress, on_done
-
-    def onQueryStarted(self, event) -> None:  # noqa: N802
-        pass
-
-    def onQueryProgress(self, event) -> None:  # noqa: N802
-        self.on_progress(str(event.progress.id), event.progress.numInputRows)
-
-    def onQueryIdle(self, event) -> None:  # noqa: N802
-        pass
-
-    def onQueryTerminated(self, event) -> None:  # noqa: N802
-        if self.on_done:
-            self.on_done(str(event.id), event.exception)

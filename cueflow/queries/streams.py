@@ -2,26 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cueflow.plans.model import Model, sql
 from cueflow.queries.registry import query
 from cueflow.queries.sequential import _W3_CUT, _sparse, _windows
+from cueflow.sources.folders import new_folder
 from cueflow.sources.readers import read_status_stream
 from cueflow.streaming import jobs as X
+from cueflow.streaming import tables as T
 
 EPOCH_MS = 1_704_067_200_000
 EVENTS = "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE, props STRING"
 
 
 def _folder(m: Model) -> str:
-    """A new folder for a stream's files, in the shared folder of the session where it names one."""
-    base = m.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cueflow-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder for a stream's files."""
+    return new_folder(m.spark, "stream")
 
 
 def _events(m: Model) -> DataFrame:
@@ -144,3 +142,38 @@ def s8(m: Model) -> DataFrame:
     m.statuses().select("ts", "run_id", "clip_index", "status").write.parquet(folder)
     counts = read_status_stream(m.spark, folder).groupBy("run_id", "clip_index", "status").agg(F.count("*").alias("n"))
     return finished(m, counts, "complete")
+
+
+def _updates(m: Model, files: int = 6) -> DataFrame:
+    """Status updates as a stream of several batches, two files each."""
+    folder = _folder(m)
+    rows = m.statuses().select("ts", "event_id", F.col("run_id").alias("video_id"), "clip_index", "status")
+    rows.repartition(files, "event_id").write.parquet(folder)
+    return m.spark.readStream.schema(m.spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 2).parquet(folder)
+
+
+def _table(m: Model, updates: DataFrame) -> T.KeyedTable:
+    return T.KeyedTable(m.spark, _folder(m), updates.schema, ["video_id", "clip_index"], ["ts", "event_id"])
+
+
+@query("h4_clip_updates", sql("statuses", body="SELECT run_id AS video_id, clip_index, max(event_id) FILTER (ts = last) AS event_id, arg_max(status, struct_pack(t := ts, e := event_id)) AS status FROM (SELECT *, max(ts) OVER (PARTITION BY run_id, clip_index) AS last FROM statuses) GROUP BY 1, 2"))
+def h4(m: Model) -> DataFrame:
+    updates = _updates(m)
+    table = _table(m, updates)
+    total = m.statuses().select(F.col("run_id").alias("video_id"), "clip_index").distinct()
+    T.run_with_callbacks(updates, table, total, _folder(m))
+    return table.read(m.spark).select("video_id", "clip_index", "event_id", "status")
+
+
+@query("h4_metrics_table", "SELECT count(*) AS input_rows, 0::BIGINT AS state_rows FROM events")
+def h4_metrics(m: Model) -> DataFrame:
+    updates = _updates(m)
+    metrics = T.MetricsTable(m.spark, _folder(m))
+    m.spark.streams.addListener(metrics)
+    try:
+        run = updates.writeStream.trigger(availableNow=True).option("checkpointLocation", _folder(m)).foreachBatch(_table(m, updates).upsert).start()
+        run.awaitTermination()
+        metrics.wait(str(run.runId))
+    finally:
+        m.spark.streams.removeListener(metrics)
+    return metrics.read().groupBy("run").agg(F.sum("input_rows").alias("input_rows"), F.max("state_rows").alias("state_rows")).select("input_rows", "state_rows")
