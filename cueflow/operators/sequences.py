@@ -7,6 +7,8 @@ running sum.  Caps restart greedily, which window functions can't express: insid
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from cueflow.operators.joins import assign_segment
 from cueflow.operators.predicates import drop_blank_cues, min_duration
 
 CLIP = ("video_id", "clip_index")
+#: Rows of a piece of a fold; least and greatest number of cues of a chunk.
+PIECE, CHUNKS = 256, (1_024, 8_192)
 # Caps and gaps of windows, voices and frames.
 MAX_CUES, MAX_WORDS, MAX_GAP_MS, REAL_PAUSE_MS = 6, 40, 1500, 30
 SHORT_CUE_MS, MERGED_WORDS = 1200, 12
@@ -43,44 +47,95 @@ def dedupe_rolling(clip_cues: DataFrame) -> DataFrame:
     return seen.withColumn("text", F.array_join(left, " ")).where(F.col("text") != "").drop("_words", "_before")
 
 
-def merge_short_cues(clip_cues: DataFrame) -> DataFrame:
-    """Cues that last less than SHORT_CUE_MS take the next ones in, up to MERGED_WORDS words."""
-    cue = "struct<cue_ord:int,start_ms:bigint,end_ms:bigint,text:string,n:int>"
-    ordered = F.sort_array(F.collect_list(F.struct(F.col("cue_ord").cast("int").alias("cue_ord"), F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"), "text", word_count(F.col("text")).alias("n"))))
+def once(made: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(made)``, with ``made`` evaluated once however often it is used: as the element of an array."""
+    return F.get(F.transform(F.array(made), use), F.lit(0))
+
+
+def folded(rows: Column, zero: Column, step: Callable[[Column, Column], Column], out: str) -> Column:
+    """What ``step(state, row)`` (a struct: next ``state``, ``out``) puts out for each of ordered ``rows``.
+
+    Outputs are appended within pieces of PIECE rows, and pieces to each other, so that a long
+    array isn't copied once a row.  ``out``: the type of an output.
+    """
+    size = F.ceil(F.size(rows) / PIECE).cast("int")
+    pieces = F.transform(F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>")), lambda i: F.slice(rows, (i - 1) * PIECE + 1, F.lit(PIECE)))
 
-    def step(done: Column, c: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        fits = (F.size(done) > 0) & (last["end_ms"] - last["start_ms"] < SHORT_CUE_MS) & (last["n"] + c["n"] <= MERGED_WORDS)
-        merged = F.struct(last["cue_ord"].alias("cue_ord"), last["start_ms"].alias("start_ms"), c["end_ms"].alias("end_ms"), F.concat(last["text"], F.lit(" "), c["text"]).alias("text"), (last["n"] + c["n"]).alias("n"))
-        return F.when(fits, F.array_append(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), merged)).otherwise(F.array_append(done, c))
+    def added(acc: Column) -> Callable[[Column], Column]:
+        return lambda x: F.struct(x["state"].alias("state"), F.array_append(acc["out"], x["out"]).alias("out"))
+
+    def piece(acc: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(acc["state"].alias("state"), F.array().cast(f"array<{out}>").alias("out")), lambda a, row: once(step(a["state"], row), added(a)))
+        return once(inner, added(acc))
+
+    return F.aggregate(pieces, F.struct(zero.alias("state"), F.array().cast(f"array<array<{out}>>").alias("out")), piece, lambda acc: F.flatten(acc["out"]))
+
+
+def merge_short_cues(clip_cues: DataFrame) -> DataFrame:
+    """Cues that last less than SHORT_CUE_MS take the next ones in, up to MERGED_WORDS words.
 
+    Wherever the cue before is sure to close, whatever it has taken in, an island begins: it
+    reaches SHORT_CUE_MS even from the latest start so far, or the words of two neighbours are
+    too many.  A fold over each island says which cues open; texts are joined behind it.
+    Null times or words don't merge; a null text adds nothing.
+    """
     keys = [c for c in (*CLIP, "clip_start_ms", "clip_end_ms") if c in clip_cues.columns]
-    folded = clip_cues.groupBy(*keys).agg(ordered.alias("cues")).withColumn("cues", F.aggregate("cues", F.array().cast(f"array<{cue}>"), step))
-    return folded.select(*keys, F.explode("cues").alias("c")).select(*keys, "c.cue_ord", "c.start_ms", "c.end_ms", "c.text")
+    order = Window.partitionBy(*keys).orderBy("cue_ord")
+    latest = F.max("start_ms").over(order)
+    timed = clip_cues.select(*keys, F.col("cue_ord").cast("int").alias("cue_ord"), F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"), "text", word_count(F.col("text")).alias("n"))
+    closed = timed.withColumns({"_closes": F.col("end_ms") - latest >= SHORT_CUE_MS, "_many": F.lag("n").over(order) + F.col("n") > MERGED_WORDS})
+    cut = F.coalesce(F.lag("_closes").over(order), F.lit(False)) | F.coalesce("_many", F.lit(False))
+    islands = closed.withColumn("_cut", cut.cast("int")).withColumn("_island", F.sum("_cut").over(order))
+    rows = F.sort_array(F.collect_list(F.struct("cue_ord", "start_ms", "end_ms", "text", "n")))
+
+    def step(last: Column, c: Column) -> Column:
+        fits = F.coalesce((last["end_ms"] - last["start_ms"] < SHORT_CUE_MS) & (last["n"] + c["n"] <= MERGED_WORDS), F.lit(False))
+        start, n = F.when(fits, last["start_ms"]).otherwise(c["start_ms"]), F.when(fits, last["n"]).otherwise(0) + c["n"]
+        return F.struct(F.struct(start.alias("start_ms"), c["end_ms"].alias("end_ms"), n.alias("n")).alias("state"), (~fits).cast("int").alias("out"))
+
+    nothing = F.lit(None).cast("struct<start_ms:bigint,end_ms:bigint,n:int>")
+    opened = islands.groupBy(*keys, "_island").agg(rows.alias("_rows")).withColumn("_opens", folded(F.col("_rows"), nothing, step, "int"))
+    cues = opened.select(*keys, F.inline(F.zip_with("_rows", "_opens", lambda r, o: F.struct(r["cue_ord"].alias("cue_ord"), r["start_ms"].alias("start_ms"), r["end_ms"].alias("end_ms"), r["text"].alias("text"), o.alias("_open")))))
+    merged = cues.withColumn("_cue", F.sum("_open").over(order)).groupBy(*keys, "_cue").agg(F.sort_array(F.collect_list(F.struct("cue_ord", "start_ms", "end_ms", "text"))).alias("c"))
+    first, last = F.element_at("c", 1), F.element_at("c", -1)
+    return merged.select(*keys, first["cue_ord"].alias("cue_ord"), first["start_ms"].alias("start_ms"), last["end_ms"].alias("end_ms"), F.array_join(F.transform("c", lambda x: x["text"]), " ").alias("text"))
 
 
 def _capped(islands: DataFrame, start: Column) -> DataFrame:
     """``window_id`` from islands (``_island``): a window closes behind a cue that reaches a cap.
 
     ``start``: whether a window may open at a cue when caps are reached (turns only cut at
-    pauses).  Within an island the fold numbers windows; over the clip they are dense.
+    pauses).  What an open window lets follow depends on its number of cues alone (FULL when a
+    cap is reached), as the words of so many last cues are known at each cue.  So a chunk of
+    an island is a function of that number; where a chunk starts follows from the functions of
+    those before it, and no array is longer than a chunk: about the root of an island's
+    length, and between CHUNKS' bounds.  Rows travel with their chunk; one shuffle does for all.
     """
-    cue = F.struct("cue_ord", F.col("_n").alias("n"), start.alias("may"))
-    groups = islands.groupBy(*CLIP, "_island").agg(F.sort_array(F.collect_list(cue)).alias("_cues"))
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("w"), F.lit(0).alias("id"), F.array().cast("array<struct<cue_ord:bigint,id:int>>").alias("out"))
-
-    def step(s: Column, c: Column) -> Column:
-        full = ((s["n"] >= MAX_CUES) | (s["w"] >= MAX_WORDS)) & c["may"]
-        number = s["id"] + full.cast("int")
-        placed = F.struct(c["cue_ord"].cast("long").alias("cue_ord"), number.alias("id"))
-        return F.struct(
-            (F.when(full, 0).otherwise(s["n"]) + 1).alias("n"), (F.when(full, 0).otherwise(s["w"]) + c["n"]).alias("w"), number.alias("id"), F.array_append(s["out"], placed).alias("out")
-        )
-
-    placed = groups.withColumn("_out", F.aggregate("_cues", zero, step, lambda s: s["out"])).select(*CLIP, "_island", F.explode("_out").alias("_o"))
-    numbered = placed.select(*CLIP, F.col("_o.cue_ord").alias("cue_ord"), "_island", F.col("_o.id").alias("_id"))
-    dense = F.dense_rank().over(Window.partitionBy(*CLIP).orderBy("_island", "_id")) - 1
-    return islands.drop("_island", "_n").join(numbered.withColumn("window_id", dense).drop("_island", "_id"), [*CLIP, "cue_ord"])
+    full = MAX_CUES
+    own = Window.partitionBy(*CLIP, "_island")
+    said = [F.col("_n")]
+    for k in range(1, full - 1):
+        said.append(said[-1] + F.coalesce(F.lag("_n", k).over(_order()), F.lit(0)))
+    reach = F.lit(full)
+    for k in range(full - 1, 0, -1):
+        reach = F.when(said[k - 1] >= MAX_WORDS, k).otherwise(reach)
+    counted = islands.withColumns({"_reach": reach, "_may": start, "_pos": F.row_number().over(own.orderBy("cue_ord")) - 1, "_size": F.count("*").over(own)})
+    length = F.greatest(F.lit(CHUNKS[0]), F.least(F.lit(CHUNKS[1]), F.ceil(F.sqrt("_size")))).cast("int")
+    columns = [c for c in islands.columns if c not in (*CLIP, "_island", "_n")]
+    row = F.struct("cue_ord", *[c for c in columns if c != "cue_ord"], "_reach", "_may")
+    chunks = counted.groupBy(*CLIP, "_island", F.floor(F.col("_pos") / length).alias("_chunk")).agg(F.sort_array(F.collect_list(row)).alias("_rows"), (F.first("_size") > F.first(length)).alias("_long"))
+
+    def after(state: Column, r: Column) -> Column:
+        cues = F.when((state == full) & ~r["_may"], full).when(state == full, 1).otherwise(state + 1)
+        return F.when(cues >= r["_reach"], full).otherwise(cues)
+
+    every = F.array(*[F.lit(k) for k in range(full + 1)])
+    function = F.when(F.col("_long"), F.aggregate("_rows", every, lambda states, r: F.transform(states, lambda s: after(s, r))))
+    before = F.collect_list("_function").over(own.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
+    entered = chunks.withColumn("_function", function).withColumn("_entry", F.aggregate(before, F.lit(0), lambda s, f: F.get(f, s)))
+    opens = folded(F.col("_rows"), F.col("_entry"), lambda s, r: F.struct(after(s, r).alias("state"), ((s == 0) | ((s == full) & r["_may"])).cast("int").alias("out")), "int")
+    placed = entered.withColumn("_opens", opens).select(*CLIP, F.inline(F.zip_with("_rows", "_opens", lambda r, o: F.struct(*[r[c].alias(c) for c in columns], o.alias("_open")))))
+    return placed.select(*CLIP, *columns, (F.sum("_open").over(_order()) - 1).cast("int").alias("window_id"))
 
 
 def _islands(cues: DataFrame, boundary: Column) -> DataFrame:
@@ -175,18 +230,33 @@ def concat_timeline(results: DataFrame) -> DataFrame:
 
 
 def merge_rolling_text(clip_cues: DataFrame) -> DataFrame:
-    """The excerpt of each clip: cue after cue without the longest overlap with what is there."""
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("cue_ord", words(F.col("text")).alias("w")))), lambda c: c["w"])
-    low = lambda c: F.transform(c, lambda w: F.lower(w))
+    """The excerpt of each clip: cue after cue without the longest overlap with what is there.
+
+    An overlap is no longer than the cue, so the fold keeps as many last words as the longest
+    cue has, and only says how many words of each cue go; the rest is joined once.  Lengths are
+    tried where the words at both ends fit: the work is in proportion to the words, but in
+    cues that repeat one word over and over.
+    """
+    own = words(F.col("text"))
+    rows = F.sort_array(F.collect_list(F.struct("cue_ord", own.alias("w"), F.transform(own, lambda w: F.lower(w)).alias("low"))))
+
+    most = F.col("_most")
+
+    def step(tail: Column, cue: Column) -> Column:
+        low, n = cue["low"], F.size(tail)
+        longest = F.least(n, F.size(low))
+        lengths = F.when(longest > 0, F.sequence(longest, F.lit(1), F.lit(-1)))
+        ends = lambda k: (F.get(low, k - 1) == F.get(tail, n - 1)) & (F.get(low, F.lit(0)) == F.get(tail, n - k))
+        fits = F.filter(lengths, lambda k: ends(k) & (F.slice(tail, n - k + 1, k) == F.slice(low, F.lit(1), k)))
+
+        def grown(cut: Column) -> Column:
+            return once(F.concat(tail, F.slice(low, cut + 1, F.size(low))), lambda t: F.struct(F.when(F.size(t) > most, F.slice(t, -most, most)).otherwise(t).alias("state"), cut.alias("out")))
 
-    def step(done: Column, own: Column) -> Column:
-        most = F.least(F.size(done), F.size(own))
-        lengths = F.when(most > 0, F.sequence(most, F.lit(1), F.lit(-1)))
-        fits = F.filter(lengths, lambda k: low(F.slice(done, F.size(done) - k + 1, k)) == low(F.slice(own, F.lit(1), k)))
-        cut = F.coalesce(F.get(fits, F.lit(0)), F.lit(0))
-        return F.concat(done, F.slice(own, cut + 1, F.greatest(F.size(own) - cut, F.lit(0))))
+        return once(F.coalesce(F.get(fits, F.lit(0)), F.lit(0)), grown)
 
-    merged = clip_cues.groupBy(*CLIP).agg(ordered.alias("_cues")).withColumn("_words", F.aggregate("_cues", F.array().cast("array<string>"), step))
+    cuts = folded(F.col("_cues"), F.array().cast("array<string>"), step, "int")
+    kept = F.flatten(F.zip_with("_cues", "_cuts", lambda c, k: F.slice(c["w"], k + 1, F.greatest(F.size(c["w"]) - k, F.lit(0)))))
+    merged = clip_cues.groupBy(*CLIP).agg(rows.alias("_cues"), F.max(F.size(own)).alias("_most")).withColumn("_cuts", cuts).withColumn("_words", kept)
     return merged.select(*CLIP, F.array_join("_words", " ").alias("excerpt"), F.size("_words").alias("n_words"))
 
 

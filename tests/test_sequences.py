@@ -147,3 +147,90 @@ def test_plans_shuffle_once_and_stay_in_the_jvm(spark, sf_dir):
         assert "CartesianProduct" not in joined and "BroadcastNestedLoop" not in joined
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def greedy_windows(rows, turns=None):
+    """Windows of (start, end, words, speaker or turn, pause allowed) by a plain loop over the rules."""
+    out, n, w, number = [], 0, 0, -1
+    for i, (a, z, words, hard, may) in enumerate(rows):
+        if i == 0 or hard or ((n >= W.MAX_CUES or w >= W.MAX_WORDS) and may):
+            number, n, w = number + 1, 0, 0
+        n, w = n + 1, w + words
+        out.append(number)
+    return out
+
+
+def long_clip(spark, n, words="pmod(xxhash64(id), 9) + 1", gap="0"):
+    text = F.array_join(F.array_repeat(F.lit("x"), F.expr(f"cast({words} as int)")), " ")
+    start = F.col("id") * 1000
+    return spark.range(n).select(F.lit("v").alias("video_id"), F.lit(1).alias("clip_index"), F.col("id").cast("int").alias("cue_ord"), start.alias("start_ms"), (start + 1000 - F.expr(gap)).alias("end_ms"), text.alias("text"), F.lit(None).cast("string").alias("speaker_label"))
+
+
+def test_windows_of_an_island_of_many_chunks(spark):
+    cues = long_clip(spark, 30_000)
+    rows = cues.orderBy("cue_ord").collect()
+    want = greedy_windows([(r.start_ms, r.end_ms, len(r.text.split()), False, True) for r in rows])
+    got = [r.window_id for r in W.translation_windows(cues.repartition(3)).orderBy("cue_ord").collect()]
+    assert got == want
+    assert [r.window_id for r in W.dub_windows_fallback(cues).orderBy("cue_ord").collect()] == want
+
+
+def test_a_turn_of_many_chunks_is_cut_at_pauses_only(spark):
+    cues = long_clip(spark, 12_000, gap="if(pmod(xxhash64(id, 7), 23) = 0, 100, 0)")
+    rows = cues.orderBy("cue_ord").collect()
+    want = greedy_windows([(r.start_ms, r.end_ms, len(r.text.split()), False, i > 0 and r.start_ms - rows[i - 1].end_ms > W.REAL_PAUSE_MS) for i, r in enumerate(rows)])
+    turn = segments(spark, [(0, 12_000_000, "Speaker 1", "male")])
+    assert [r.window_id for r in W.dub_windows_by_segment(cues, turn).orderBy("cue_ord").collect()] == want
+
+
+def test_two_hundred_thousand_cues_in_one_island(spark):
+    out = W.translation_windows(long_clip(spark, 200_000, words="1"))
+    assert out.agg(F.count("*"), F.max("window_id")).first() == (200_000, 33_333)
+    assert out.groupBy("window_id").count().where("count > 6").count() == 0
+
+
+def merged_cues(rows):
+    """The rule of short cues as a plain loop over (start, end, text)."""
+    out = []
+    for a, z, t in rows:
+        if out and out[-1][1] - out[-1][0] < W.SHORT_CUE_MS and len(out[-1][2].split()) + len(t.split()) <= W.MERGED_WORDS:
+            out[-1] = (out[-1][0], z, f"{out[-1][2]} {t}")
+        else:
+            out.append((a, z, t))
+    return out
+
+
+def test_short_cues_of_a_long_clip(spark):
+    rng = random.Random(8)
+    rows, at = [], 0
+    for _ in range(20_000):
+        at += rng.choice([0, 0, 100, 400])
+        # Some overlap the one before, some are long, many are tiny.
+        a = max(0, at - rng.choice([0, 0, 0, 900]))
+        at = a + rng.choice([50, 200, 500, 1199, 1200, 2500])
+        rows.append((a, at, " ".join("x" * rng.choice([1, 1, 2, 5, 11, 13]))))
+    got = [(r.start_ms, r.end_ms, r.text) for r in W.merge_short_cues(cues(spark, [(*r, None) for r in rows]).repartition(3)).orderBy("cue_ord").collect()]
+    assert got == merged_cues(rows)
+    tiny = long_clip(spark, 20_000, words="1").withColumns({"start_ms": F.col("cue_ord").cast("long"), "end_ms": F.col("cue_ord").cast("long") + 1})
+    assert W.merge_short_cues(tiny).count() == -(-20_000 // 12)
+
+
+def rolled_together(texts):
+    done = []
+    for own in (t.split() for t in texts):
+        fit = [k for k in range(min(len(done), len(own)), 0, -1) if [w.lower() for w in done[-k:]] == [w.lower() for w in own[:k]]]
+        done += own[fit[0] if fit else 0 :]
+    return " ".join(done)
+
+
+def test_rolling_text_of_a_long_clip(spark):
+    rng = random.Random(9)
+    texts, last = [], []
+    for i in range(20_000):
+        new = [rng.choice("aabcD") if rng.random() < 0.3 else f"w{i}" for _ in range(rng.randint(0, 7))]
+        last = [w.upper() if rng.random() < 0.1 else w for w in last[-rng.randint(1, 6) :]] + new if rng.random() < 0.8 else new
+        texts.append(" ".join(last))
+    out = W.merge_rolling_text(cues(spark, [(i, i + 1, t, None) for i, t in enumerate(texts)]).repartition(3)).first()
+    assert out.excerpt == rolled_together(texts) and out.n_words == len(out.excerpt.split())
+    same = cues(spark, [(i, i + 1, "a a a a b", None) for i in range(50)] + [(60, 61, "", None), (61, 62, "a b a", None)])
+    assert W.merge_rolling_text(same).first().excerpt == rolled_together(["a a a a b"] * 50 + ["", "a b a"])
