@@ -217,6 +217,12 @@ def p7(m: Model) -> DataFrame:
     return P.min_duration(m.segments(), 20000).select("video_id", "seg_idx", "start_ms", "end_ms")
 
 
+@query("p7_min_duration_default", sql("cues", body="SELECT video_id, cue_ord, start_ms, end_ms FROM cues WHERE end_ms - start_ms >= 350"))
+def p7_default(m: Model) -> DataFrame:
+    """The default, 350 ms, over cues: those of one word go."""
+    return P.min_duration(m.cues()).select("video_id", "cue_ord", "start_ms", "end_ms")
+
+
 @query("p8_validate_artifacts", sql("results", body="""SELECT video_id, clip_index, r AS reason, r IS NULL AS valid FROM (SELECT *, CASE WHEN output_path IS NULL THEN 'missing' WHEN file_size_bytes % 10 = 0 THEN 'empty' WHEN actual_duration_ms IS NULL THEN 'unknown_duration' WHEN actual_duration_ms < 1000 THEN 'too_short' END AS r FROM results)"""))
 def p8(m: Model) -> DataFrame:
     length = F.when(F.col("file_size_bytes") % 10 == 0, 0).otherwise(F.col("file_size_bytes"))

@@ -53,7 +53,7 @@ def x2(m: Model) -> DataFrame:
     return finished(m, X.progress(_statuses(m)), "complete")
 
 
-_BURSTS = """bursts AS (SELECT user_id, ts, event_type, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (SELECT *, coalesce((ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL {0})::INT, 0) AS c FROM events {1}))"""
+_BURSTS = """bursts AS (SELECT user_id, ts, event_type, event_id, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (SELECT *, coalesce((ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL {0})::INT, 0) AS c FROM events {1}))"""
 
 
 def _closing(m: Model, rows: DataFrame) -> DataFrame:
@@ -71,6 +71,12 @@ def x3(m: Model) -> DataFrame:
     return finished(m, X.debounce(_closing(m, rows), 1_800_000), "append").where("key >= 0").select("key", "edits", "value")
 
 
+@query("x3_debounce_default", sql(_BURSTS.format("400 MILLISECOND", "").replace("user_id, ts, event_type, event_id", "event_type, ts, event_id").replace("user_id", "event_type"), body="SELECT event_type AS key, count(*) AS edits, arg_max(event_id, struct_pack(t := ts, v := event_id)) AS value FROM bursts GROUP BY event_type, g"))
+def x3_default(m: Model) -> DataFrame:
+    """The default quiet time, 400 ms, over a table."""
+    return X.debounce(m.events().select("ts", F.col("event_type").alias("key"), F.col("event_id").alias("value"))).select("key", "edits", "value")
+
+
 _ADMIT = """ordered AS (SELECT user_id, event_id, epoch_ms(ts) AS t, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS i FROM events),
     walked AS (SELECT user_id, event_id, t, i, {first} AS at, true AS ok FROM ordered WHERE i = 1 UNION ALL SELECT o.user_id, o.event_id, o.t, o.i, {step} FROM walked w JOIN ordered o ON o.user_id = w.user_id AND o.i = w.i + 1)"""
 
@@ -86,6 +92,23 @@ def x4_batch(m: Model) -> DataFrame:
     return X.throttle(m.events().select("ts", F.col("user_id").alias("key"), "event_id"), 7_200_000).select("key", "event_id")
 
 
+def _throttled(interval: int) -> str:
+    return _ADMIT.format(first="t", step=f"CASE WHEN o.t - w.at >= {interval} THEN o.t ELSE w.at END, o.t - w.at >= {interval}")
+
+
+@query("x4_throttle_daily", sql(_throttled(X.THROTTLE_MS), recursive=True, body="SELECT user_id AS key, event_id FROM walked WHERE ok"))
+def x4_daily(m: Model) -> DataFrame:
+    """The default interval, a day."""
+    return X.throttle(m.events().select("ts", F.col("user_id").alias("key"), "event_id")).select("key", "event_id")
+
+
+@query("x4_throttle_hot_key", sql("hot AS (SELECT CASE WHEN user_id % 3 = 0 THEN -1 ELSE user_id END AS user_id, event_id, ts, event_type FROM events)", _throttled(600_000).replace("FROM events)", "FROM hot)"), recursive=True, body="SELECT user_id AS key, event_id FROM walked WHERE ok"))
+def x4_hot(m: Model) -> DataFrame:
+    """One key with a third of all rows."""
+    key = F.when(F.col("user_id") % 3 == 0, -1).otherwise(F.col("user_id"))
+    return X.throttle(m.events().select("ts", key.alias("key"), "event_id"), 600_000).select("key", "event_id")
+
+
 _COOL = _ADMIT.format(first="CASE WHEN bad THEN t + 14400000 ELSE -1 END", step="CASE WHEN o.t >= w.at AND o.bad THEN o.t + 14400000 ELSE w.at END, o.t >= w.at")
 
 
@@ -96,6 +119,21 @@ def x5(m: Model) -> DataFrame:
     return finished(m, X.cooldown(rows, 14_400_000), "append").select("key", "event_id")
 
 
+def _limited(m: Model) -> DataFrame:
+    return m.events().select("ts", F.col("user_id").alias("key"), "event_id", (F.col("event_type") == "error").alias("limited"))
+
+
+@query("x5_cooldown_batch", sql(_COOL, recursive=True, body="SELECT user_id AS key, event_id FROM walked WHERE ok"))
+def x5_batch(m: Model) -> DataFrame:
+    return X.cooldown(_limited(m), 14_400_000).select("key", "event_id")
+
+
+@query("x5_cooldown_default", sql(_COOL.replace("14400000", str(X.COOLDOWN_MS)), recursive=True, body="SELECT user_id AS key, event_id FROM walked WHERE ok"))
+def x5_default(m: Model) -> DataFrame:
+    """The default pause, five minutes."""
+    return X.cooldown(_limited(m)).select("key", "event_id")
+
+
 def _frames(m: Model) -> DataFrame:
     """Frames of the model at 30 ms steps of event time."""
     ts = F.timestamp_millis(F.lit(EPOCH_MS) + F.col("frame_no") * 30)

@@ -1,7 +1,8 @@
 """Live status, progress, debounce, throttle, cooldown, speech and window streams.
 
 Built-in aggregations work on streams and tables alike.  The custom ones keep a small state
-per key in ``transformWithStateInPandas``; their batch twins fold each key's ordered rows.
+per key in ``transformWithStateInPandas``; their batch twins cut each key's rows at pauses that
+reset the state and stream the parts through a fold that jumps from one admitted row to the next.
 Event time columns are TIMESTAMP; rows later than the watermark are dropped by Spark.
 """
 
@@ -9,7 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -63,34 +67,72 @@ def once_per_key(requests: DataFrame, keys: list[str], delay: str = "1 hour") ->
     return requests.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
-def _admitted(times: list[int], kinds: list[bool], last: int | None, gap: int) -> tuple[list[bool], int | None]:
-    """Throttle: which of the ordered times (ms) are admitted; the last admitted."""
-    out = []
-    for t in times:
-        ok = last is None or t - last >= gap
-        last = t if ok else last
-        out.append(ok)
+def _admitted(times: np.ndarray, flagged: np.ndarray, last: int | None, gap: int) -> tuple[np.ndarray, int | None]:
+    """Throttle: which of the ordered times (ms) are admitted; the last admitted.
+
+    From one admitted time the search goes on at the first that is ``gap`` later.
+    """
+    out, i = np.zeros(len(times), dtype=bool), 0 if last is None else int(np.searchsorted(times, last + gap))
+    while i < len(times):
+        out[i], last = True, int(times[i])
+        i = max(i + 1, int(np.searchsorted(times, last + gap)))
     return out, last
 
 
-def _outside_cooldown(times: list[int], limited: list[bool], until: int | None, gap: int) -> tuple[list[bool], int | None]:
+def _outside_cooldown(times: np.ndarray, limited: np.ndarray, until: int | None, gap: int) -> tuple[np.ndarray, int | None]:
     """Cooldown: attempts that go ahead; an admitted one that is rate limited suppresses the next ones."""
-    out = []
-    for t, bad in zip(times, limited, strict=True):
-        ok = until is None or t >= until
-        if ok and bad:
-            until = t + gap
-        out.append(ok)
+    out, bad = np.zeros(len(times), dtype=bool), np.flatnonzero(limited)
+    i = 0 if until is None else int(np.searchsorted(times, until))
+    while i < len(times):
+        at = int(np.searchsorted(bad, i))
+        j = int(bad[at]) if at < len(bad) else len(times) - 1
+        out[i : j + 1] = True
+        if at == len(bad):
+            break
+        until = int(times[j]) + gap
+        i = max(j + 1, int(np.searchsorted(times, until)))
     return out, until
 
 
-def _fold(rule, gap: int, flag: str | None):
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["ts_ms", "event_id"])
-        keep, _ = rule(frame["ts_ms"].tolist(), frame[flag].tolist() if flag else [False] * len(frame), None, gap)
-        return frame.loc[keep, ["key", "event_id", "ts_ms"]]
+def _fold(rule, gap: int):
+    """Over Arrow batches of (key, part, ts_ms, event_id, flag) in this order: the rows that ``rule`` lets through.
+
+    Only the state of the part at hand is kept, so a part of any length passes in bounded memory.
+    """
 
-    return one
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, parts, times, _, flags = batch.columns
+            same = pc.and_(pc.equal(keys[1:], keys[:-1]), pc.equal(parts[1:], parts[:-1]))
+            cuts = [0, *(np.flatnonzero(~np.asarray(pc.fill_null(same, False), dtype=bool)) + 1).tolist(), batch.num_rows]
+            times, flags = np.asarray(times), np.asarray(flags, dtype=bool)
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                name = (keys[a].as_py(), parts[a].as_py())
+                if name != current:
+                    current, state = name, None
+                keep[a:z], state = rule(times[a:z], flags[a:z], state, gap)
+            yield batch.filter(pa.array(keep)).select(["key", "event_id", "ts_ms"])
+
+    return run
+
+
+def _parts(rows: DataFrame, gap: int) -> DataFrame:
+    """rows with ``part``: the number of pauses of at least ``gap`` behind which an event of its key is sure to pass.
+
+    Such a pause ends at the first event of a stretch of ``gap``, so the stretches' first and
+    last times tell; a key's rows never come together for it.
+    """
+    width = max(gap, 1)
+    marked = rows.withColumn("stretch", F.floor(F.col("ts_ms") / width))
+    spans = marked.groupBy("key", "stretch").agg(F.min("ts_ms").alias("first"), F.max("ts_ms").alias("last"))
+    order = Window.partitionBy("key").orderBy("stretch")
+    pause = F.coalesce(F.col("first") - F.lag("last").over(order) >= gap, F.lit(False)).cast("int")
+    numbered = spans.withColumn("pause", pause).select(F.col("key").alias("_key"), F.col("stretch").alias("_stretch"), F.sum("pause").over(order).alias("part"))
+    return marked.join(numbered, marked["key"].eqNullSafe(numbered["_key"]) & (marked["stretch"] == numbered["_stretch"])).drop("stretch", "_key", "_stretch")
 
 
 class _Gate(StatefulProcessor):
@@ -105,7 +147,7 @@ class _Gate(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         frame = pd.concat(list(rows)).sort_values(["ts_ms", "event_id"])
         at = self.state.get()[0] if self.state.exists() else None
-        keep, at = self.rule(frame["ts_ms"].tolist(), frame[self.flag].tolist() if self.flag else [False] * len(frame), at, self.gap)
+        keep, at = self.rule(frame["ts_ms"].to_numpy(), frame[self.flag].to_numpy(dtype=bool) if self.flag else np.zeros(len(frame), dtype=bool), at, self.gap)
         if at is not None:
             self.state.update((int(at),))
         yield frame.loc[keep, ["key", "event_id", "ts_ms"]]
@@ -114,23 +156,30 @@ class _Gate(StatefulProcessor):
         pass
 
 
-_ADMITTED = "key long, event_id long, ts_ms long"
-
-
 def _gated(rows: DataFrame, rule, gap: int, flag: str | None) -> DataFrame:
-    columns = ["key", "event_id", F.unix_millis("ts").alias("ts_ms"), *([flag] if flag else [])]
+    columns = ["key", "event_id", F.unix_millis("ts").alias("ts_ms")]
+    kind = f"key {rows.schema['key'].dataType.simpleString()}, event_id {rows.schema['event_id'].dataType.simpleString()}, ts_ms long"
     if rows.isStreaming:
-        return rows.select(*columns).groupBy("key").transformWithStateInPandas(_Gate(rule, gap, flag), _ADMITTED, "Append", "None")
-    return rows.select(*columns).groupBy("key").applyInPandas(_fold(rule, gap, flag), _ADMITTED)
+        return rows.select(*columns, *([flag] if flag else [])).groupBy("key").transformWithStateInPandas(_Gate(rule, gap, flag), kind, "Append", "None")
+    flagged = F.coalesce(F.col(flag), F.lit(False)) if flag else F.lit(False)
+    parts = _parts(rows.where("ts is not null").select(*columns, flagged.alias("flag")), gap)
+    ordered = parts.select("key", "part", "ts_ms", "event_id", "flag").repartition("key", "part").sortWithinPartitions("key", "part", "ts_ms", "event_id")
+    return ordered.mapInArrow(_fold(rule, gap), kind)
 
 
 def throttle(rows: DataFrame, interval_ms: int = THROTTLE_MS) -> DataFrame:
-    """rows(ts, key, event_id): those at least interval_ms after the last admitted of their key."""
+    """rows(ts, key, event_id): those at least interval_ms after the last admitted of their key.
+
+    Of equal times the smaller event_id comes first; a null key is a key; a table's rows without a time don't pass.
+    """
     return _gated(rows, _admitted, interval_ms, None)
 
 
 def cooldown(rows: DataFrame, pause_ms: int = COOLDOWN_MS) -> DataFrame:
-    """rows(ts, key, event_id, limited): attempts not within pause_ms after a rate-limited one."""
+    """rows(ts, key, event_id, limited): attempts not within pause_ms after a rate-limited one.
+
+    Ties and nulls as in ``throttle``; a null ``limited`` is false.
+    """
     return _gated(rows, _outside_cooldown, pause_ms, "limited")
 
 
