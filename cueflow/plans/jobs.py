@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cueflow.functions.text import apply_opener, clean_cue
-from cueflow.hooks import synthesize_with, translate_with
+from cueflow.hooks import SYNTHESIS, TRANSLATION, Limits, synthesize_with, translate_with
 from cueflow.operators.aggregates import CLIP, cleaning_totals, drm_flags, first_seen, gender_from_pitch, merged_summary, outcome_counts, window_rollup
 from cueflow.operators.joins import assign_speaker, attach_artifacts, attach_excerpt, attach_voice, clip_cue_join, interval_join, opener_lookup, reuse_cached_source
 from cueflow.operators.predicates import clamp_to_clip, diagnose_height, drop_blank_cues, fit_to_slot, rebase_to_clip, summary_row, translation_fallback
@@ -39,13 +39,13 @@ def clip_excerpts(cues: DataFrame, clips: DataFrame, bin_ms: int | None = None)
     return merge_rolling_text(clip_cue_join(cues, clips, bin_ms))
 
 
-def subtitles(cues: DataFrame, clips: DataFrame, translate_fn: Callable[[str], str]) -> DataFrame:
+def subtitles(cues: DataFrame, clips: DataFrame, translate_fn: Callable[[str], str], limits: Limits = TRANSLATION) -> DataFrame:
     """Translated cues of each clip, times relative to it: window by window, text given back by word ratio."""
     own = clip_cues(cues, clips)
     cleaned, _ = clean_corpus(own)
     windowed = translation_windows(cleaned)
     joined = opener_lookup(window_rollup(windowed))
-    spoken = translate_with(joined.select(*CLIP, "window_id", "opener", F.col("remainder").alias("text")), translate_fn)
+    spoken = translate_with(joined.select(*CLIP, "window_id", "opener", F.col("remainder").alias("text")), translate_fn, limits=limits)
     whole = spoken.withColumn("translated", apply_opener(F.col("opener"), F.coalesce("translated", F.lit(""))))
     members = windowed.groupBy(*CLIP, "window_id").agg(F.sort_array(F.collect_list(F.struct("cue_ord", "text"))).alias("cues"))
     parts = split_by_word_ratio(members.join(whole.select(*CLIP, "window_id", "translated"), [*CLIP, "window_id"]))
@@ -54,7 +54,7 @@ def subtitles(cues: DataFrame, clips: DataFrame, translate_fn: Callable[[str], s
     return timed.join(texts, [*CLIP, "cue_ord"]).select(*CLIP, "cue_ord", "rel_start_ms", "rel_end_ms", "translated", "original")
 
 
-def dub_plan(clip_cues: DataFrame, segments: DataFrame, synthesize_fn: Callable[[str, str, str], str], raw_ms: DataFrame | None = None) -> DataFrame:
+def dub_plan(clip_cues: DataFrame, segments: DataFrame, synthesize_fn: Callable[[str, str, str], str], raw_ms: DataFrame | None = None, limits: Limits = SYNTHESIS) -> DataFrame:
     """Dub windows with voice, pitch, result of the synthesis, fit ratio and delay.
 
     ``raw_ms``: lengths by result, where they are known.
@@ -62,7 +62,7 @@ def dub_plan(clip_cues: DataFrame, segments: DataFrame, synthesize_fn: Callable[
     spoken = assign_speaker(drop_blank_cues(clip_cues), segments)
     windows = window_rollup(dub_windows(spoken, segments), ("speaker_label",))
     voiced = attach_voice(windows, assign_voices(segments))
-    made = synthesize_with(voiced, synthesize_fn)
+    made = synthesize_with(voiced, synthesize_fn, limits=limits)
     timed = made.join(raw_ms, "result", "left") if raw_ms is not None else made.withColumn("raw_ms", F.lit(None).cast("long"))
     return fit_to_slot(timed)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueflow.functions.text import words
+from cueflow.hooks import Limits
 from cueflow.operators import aggregates as A
 from cueflow.operators import sequences as W
 from cueflow.operators.joins import assign_segment
@@ -15,6 +16,8 @@ from cueflow.queries.registry import query
 from cueflow.queries.relational import _FLAGS, _J1, _MERGED, _PAIRS, _PICKS, _shifted, notes
 
 CC = ["video_id", "clip_index", "cue_ord"]
+#: The stand-ins for services run here: nothing to wait for.
+LOCAL = Limits(attempts=3, timeout_s=60)
 _WORDS = r"regexp_extract_all({0}, '[^\s]+')"
 
 # Cues that open with the last three words of the cue before.
@@ -216,7 +219,7 @@ def c1(m: Model) -> DataFrame:
 
 @query("c2_subtitles")
 def c2(m: Model) -> DataFrame:
-    return C.subtitles(m.cues(), m.clips(), _marked)
+    return C.subtitles(m.cues(), m.clips(), _marked, LOCAL)
 
 
 def _marked(text: str) -> str:
@@ -229,7 +232,7 @@ def c3(m: Model) -> DataFrame:
     cues = m.whole_clip().drop("speaker_label")
     raw = m.cues().select(F.col("text").alias("t"), (F.col("end_ms") - F.col("start_ms")).alias("raw_ms"))
     lengths = raw.groupBy(F.concat(F.lit("wav:"), F.md5("t")).alias("result")).agg(F.max("raw_ms").alias("raw_ms"))
-    return C.dub_plan(cues, _shifted(m), _synthesized, lengths).select("video_id", "window_id", "speaker_label", "voice", "pitch", "start_ms", "end_ms", F.round("ratio", 6).alias("ratio"), "delay_ms", "result")
+    return C.dub_plan(cues, _shifted(m), _synthesized, lengths, LOCAL).select("video_id", "window_id", "speaker_label", "voice", "pitch", "start_ms", "end_ms", F.round("ratio", 6).alias("ratio"), "delay_ms", "result")
 
 
 def _synthesized(text: str, voice: str, pitch: str) -> str:
@@ -281,7 +284,7 @@ def h3(m: Model) -> DataFrame:
     from cueflow.hooks import per_clip
 
     placed = assign_segment(m.whole_clip(), m.segments()).select("video_id", "clip_index", "cue_ord", "segment")
-    return per_clip(placed, _segment_counts, "video_id string, cues long, segments long")
+    return per_clip(placed, _segment_counts, "video_id string, cues long, segments long").select("video_id", "cues", "segments", "error")
 
 
 def _segment_counts(frame):
@@ -290,13 +293,29 @@ def _segment_counts(frame):
     return pd.DataFrame({"video_id": frame["video_id"].iloc[:1], "cues": [len(frame)], "segments": [frame["segment"].nunique()]})
 
 
+@query("h5_failing_clips", sql("cues", body="SELECT video_id, 1 AS clip_index, CASE WHEN count(*) % 3 > 0 THEN count(*) END AS n, CASE WHEN count(*) % 3 = 0 THEN 'ValueError: no clips of ' || count(*) || ' cues' END AS error FROM cues GROUP BY video_id"))
+def h5(m: Model) -> DataFrame:
+    """User code that fails on some clips: the others come through, each failure is a row that says which clip it was."""
+    from cueflow.hooks import per_clip
+
+    return per_clip(m.whole_clip().select("video_id", "clip_index", "cue_ord"), _picky, "n long")
+
+
+def _picky(frame):
+    import pandas as pd
+
+    if len(frame) % 3 == 0:
+        raise ValueError(f"no clips of {len(frame)} cues")
+    return pd.DataFrame({"n": [len(frame)]})
+
+
 @query("h1_translate_with", r"""SELECT conv_id, turn, CASE WHEN bare = '' OR length(bare) % 5 = 0 THEN text ELSE reverse(bare) END AS translated, bare <> '' AND length(bare) % 5 = 0 AS failed
     FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS bare FROM conversations)""")
 def h1(m: Model) -> DataFrame:
     from cueflow.hooks import translate_with
 
     rows = m.table("conversations").select("conv_id", "turn", "text")
-    return translate_with(rows, _shout).select("conv_id", "turn", "translated", F.col("error").isNotNull().alias("failed"))
+    return translate_with(rows, _shout, limits=LOCAL).select("conv_id", "turn", "translated", F.col("error").isNotNull().alias("failed"))
 
 
 def _shout(text: str) -> str:
@@ -311,4 +330,4 @@ def h2(m: Model) -> DataFrame:
     from cueflow.hooks import synthesize_with
 
     rows = m.table("conversations").select("conv_id", "turn", "text", F.lit("female").alias("voice"), F.lit("+0Hz").alias("pitch"))
-    return synthesize_with(rows, _synthesized).select("conv_id", "turn", "result")
+    return synthesize_with(rows, _synthesized, limits=LOCAL).select("conv_id", "turn", "result")
