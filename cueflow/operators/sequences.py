@@ -35,16 +35,23 @@ def dedupe_rolling(clip_cues: DataFrame) -> DataFrame:
 
     Words compare in lower case; the cue before is the last raw one with a word.
     """
-    raw = clip_cues.withColumn("_words", words(F.col("text"))).where(F.size("_words") > 0)
-    seen = raw.withColumn("_before", F.lag("_words").over(_order()))
-    low = lambda c: F.transform(c, lambda w: F.lower(w))
-    before, own = low(F.coalesce("_before", F.array().cast("array<string>"))), low(F.col("_words"))
-    most = F.least(F.size(before), F.size(own))
-    lengths = F.when(most > 0, F.sequence(most, F.lit(1), F.lit(-1)))
-    fits = F.filter(lengths, lambda k: F.slice(before, F.size(before) - k + 1, k) == F.slice(own, F.lit(1), k))
-    cut = F.coalesce(F.get(fits, F.lit(0)), F.lit(0))
+    raw = clip_cues.withColumn("_words", words(F.col("text"))).where(F.size("_words") > 0).withColumn("_low", F.transform("_words", lambda w: F.lower(w)))
+    seen = raw.withColumn("_before", F.coalesce(F.lag("_low").over(_order()), F.array().cast("array<string>")))
+    cut = _overlap(F.col("_before"), F.col("_low"))
     left = F.slice("_words", cut + 1, F.greatest(F.size("_words") - cut, F.lit(0)))
-    return seen.withColumn("text", F.array_join(left, " ")).where(F.col("text") != "").drop("_words", "_before")
+    return seen.withColumn("text", F.array_join(left, " ")).where(F.col("text") != "").drop("_words", "_low", "_before")
+
+
+def _overlap(before: Column, own: Column) -> Column:
+    """Length of the longest start of ``own`` that ends ``before``; both are columns or variables, as each is read often.
+
+    Only lengths at which the words at both ends agree are compared in full.
+    """
+    n, most = F.size(before), F.least(F.size(before), F.size(own))
+    lengths = F.when(most > 0, F.sequence(most, F.lit(1), F.lit(-1)))
+    ends = lambda k: (F.get(own, k - 1) == F.get(before, n - 1)) & (F.get(own, F.lit(0)) == F.get(before, n - k))
+    fits = F.filter(lengths, lambda k: ends(k) & (F.slice(before, n - k + 1, k) == F.slice(own, F.lit(1), k)))
+    return F.coalesce(F.get(fits, F.lit(0)), F.lit(0))
 
 
 def once(made: Column, use: Callable[[Column], Column]) -> Column:
@@ -243,16 +250,12 @@ def merge_rolling_text(clip_cues: DataFrame) -> DataFrame:
     most = F.col("_most")
 
     def step(tail: Column, cue: Column) -> Column:
-        low, n = cue["low"], F.size(tail)
-        longest = F.least(n, F.size(low))
-        lengths = F.when(longest > 0, F.sequence(longest, F.lit(1), F.lit(-1)))
-        ends = lambda k: (F.get(low, k - 1) == F.get(tail, n - 1)) & (F.get(low, F.lit(0)) == F.get(tail, n - k))
-        fits = F.filter(lengths, lambda k: ends(k) & (F.slice(tail, n - k + 1, k) == F.slice(low, F.lit(1), k)))
+        low = cue["low"]
 
         def grown(cut: Column) -> Column:
             return once(F.concat(tail, F.slice(low, cut + 1, F.size(low))), lambda t: F.struct(F.when(F.size(t) > most, F.slice(t, -most, most)).otherwise(t).alias("state"), cut.alias("out")))
 
-        return once(F.coalesce(F.get(fits, F.lit(0)), F.lit(0)), grown)
+        return once(_overlap(tail, low), grown)
 
     cuts = folded(F.col("_cues"), F.array().cast("array<string>"), step, "int")
     kept = F.flatten(F.zip_with("_cues", "_cuts", lambda c, k: F.slice(c["w"], k + 1, F.greatest(F.size(c["w"]) - k, F.lit(0)))))
@@ -277,14 +280,14 @@ def word_shares(counts: Column, total_words: Column) -> Column:
 
 
 def split_by_word_ratio(windows: DataFrame) -> DataFrame:
-    """windows(cues: array of (cue_ord, text), translated) to one row per cue with its part."""
+    """windows(cues: array of (cue_ord, text, ...), translated) to one row per cue, with all it has and its part."""
     own = words(F.col("translated"))
     counted = windows.withColumn("_w", own).withColumn("_shares", word_shares(F.transform("cues", lambda c: word_count(c["text"])), F.size(own)))
     starts = F.transform(F.sequence(F.lit(1), F.size("_shares")), lambda i: F.aggregate(F.slice("_shares", F.lit(1), i - 1), F.lit(0), lambda s, x: s + x))
     parts = counted.withColumn("_at", starts).select("*", F.posexplode("cues").alias("_i", "_cue"))
     share = F.get("_shares", F.col("_i"))
     part = F.when(F.size("cues") == 1, F.col("translated")).otherwise(F.array_join(F.slice("_w", F.get("_at", F.col("_i")) + 1, F.greatest(share, F.lit(0))), " "))
-    return parts.withColumn("part", part).select(*CLIP, "window_id", F.col("_cue.cue_ord").alias("cue_ord"), F.col("_cue.text").alias("text"), "part")
+    return parts.withColumn("part", part).select(*CLIP, "window_id", "_cue.*", "part")
 
 
 def srt_numbering(clip_cues: DataFrame) -> DataFrame:

@@ -18,14 +18,34 @@ from cueflow.operators.sequences import (
 )
 from cueflow.operators.sets import merge_only, with_merged_row
 from cueflow.operators.vectors import speaker_clusters
+from cueflow.sources.folders import new_folder
 from cueflow.sources.readers import info_tracks
 
 
+def _cleaned(cues: DataFrame) -> DataFrame:
+    """cues with the struct ``cleaned``; generated, so that a filter on it doesn't evaluate the chain again."""
+    return cues.select("*", F.explode(F.array(clean_cue(F.col("text")))).alias("cleaned"))
+
+
+def _kept(cleaned: DataFrame) -> DataFrame:
+    return cleaned.where("not cleaned.dropped").withColumn("text", F.col("cleaned.text")).drop("cleaned")
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: what reads it several times doesn't make it again."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def clean_corpus(cues: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Cleaned cues (blank ones dropped) and the totals of what went, per clip."""
-    # Generated, so that the filter on its result doesn't evaluate the chain again.
-    cleaned = cues.select("*", F.explode(F.array(clean_cue(F.col("text")))).alias("cleaned"))
-    return cleaned.where("not cleaned.dropped").withColumn("text", F.col("cleaned.text")).drop("cleaned"), cleaning_totals(cleaned)
+    """Cleaned cues (blank ones dropped) and the totals of what went, per clip.
+
+    The chain runs once: its result is stored, and both read it.  It costs far more than
+    moving a cue, so cues are spread evenly first, whatever files or clips they come from.
+    """
+    cleaned = _stored(_cleaned(cues.repartition(*CLIP, "cue_ord")), "cleaned")
+    return _kept(cleaned), cleaning_totals(cleaned)
 
 
 def clip_cues(cues: DataFrame, clips: DataFrame, bin_ms: int | None = None) -> DataFrame:
@@ -39,19 +59,25 @@ def clip_excerpts(cues: DataFrame, clips: DataFrame, bin_ms: int | None = None)
     return merge_rolling_text(clip_cue_join(cues, clips, bin_ms))
 
 
-def subtitles(cues: DataFrame, clips: DataFrame, translate_fn: Callable[[str], str], limits: Limits = TRANSLATION) -> DataFrame:
-    """Translated cues of each clip, times relative to it: window by window, text given back by word ratio."""
-    own = clip_cues(cues, clips)
-    cleaned, _ = clean_corpus(own)
-    windowed = translation_windows(cleaned)
-    joined = opener_lookup(window_rollup(windowed))
-    spoken = translate_with(joined.select(*CLIP, "window_id", "opener", F.col("remainder").alias("text")), translate_fn, limits=limits)
+def subtitle_windows(cues: DataFrame, clips: DataFrame, bin_ms: int | None = None) -> DataFrame:
+    """A row per translation window of each clip, with its cleaned cues (times included) and their joined text."""
+    windowed = translation_windows(_kept(_cleaned(clip_cues(cues, clips, bin_ms))))
+    cue = F.struct("cue_ord", "text", "start_ms", "end_ms", "clip_start_ms")
+    rows = windowed.groupBy(*CLIP, "window_id").agg(F.sort_array(F.collect_list(cue)).alias("cues"))
+    return rows.withColumn("text", F.array_join(F.transform("cues", lambda c: c["text"]), " "))
+
+
+def subtitles(cues: DataFrame, clips: DataFrame, translate_fn: Callable[[str], str], limits: Limits = TRANSLATION, bin_ms: int | None = None) -> DataFrame:
+    """Translated cues of each clip, times relative to it: window by window, text given back by word ratio.
+
+    Cues travel with their windows, so nothing is joined back to them.  The windows are stored
+    once: the distinct texts to translate and the rows that take the results read that table.
+    """
+    windows = opener_lookup(_stored(subtitle_windows(cues, clips, bin_ms), "windows"))
+    spoken = translate_with(windows.select(*CLIP, "window_id", "cues", "opener", F.col("remainder").alias("text")), translate_fn, limits=limits)
     whole = spoken.withColumn("translated", apply_opener(F.col("opener"), F.coalesce("translated", F.lit(""))))
-    members = windowed.groupBy(*CLIP, "window_id").agg(F.sort_array(F.collect_list(F.struct("cue_ord", "text"))).alias("cues"))
-    parts = split_by_word_ratio(members.join(whole.select(*CLIP, "window_id", "translated"), [*CLIP, "window_id"]))
-    texts = parts.select(*CLIP, "cue_ord", F.col("text").alias("original"), translation_fallback(F.col("part"), F.col("text")).alias("translated"))
-    timed = rebase_to_clip(windowed.select(*CLIP, "cue_ord", "start_ms", "end_ms", "clip_start_ms"))
-    return timed.join(texts, [*CLIP, "cue_ord"]).select(*CLIP, "cue_ord", "rel_start_ms", "rel_end_ms", "translated", "original")
+    timed = rebase_to_clip(split_by_word_ratio(whole))
+    return timed.select(*CLIP, "cue_ord", "rel_start_ms", "rel_end_ms", translation_fallback(F.col("part"), F.col("text")).alias("translated"), F.col("text").alias("original"))
 
 
 def dub_plan(clip_cues: DataFrame, segments: DataFrame, synthesize_fn: Callable[[str, str, str], str], raw_ms: DataFrame | None = None, limits: Limits = SYNTHESIS) -> DataFrame:
