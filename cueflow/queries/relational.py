@@ -14,7 +14,8 @@ from cueflow.operators import vectors as V
 from cueflow.plans.model import Model, sql
 from cueflow.queries.registry import query
 from cueflow.sources import readers as S
-from cueflow.sources.writers import srt_texts
+from cueflow.sources.folders import new_folder
+from cueflow.sources.writers import srt_texts, write_captions, write_srt
 
 _J1 = "SELECT c.video_id, k.clip_index, c.cue_ord, c.start_ms, c.end_ms, c.text, k.start_ms AS clip_start_ms, k.end_ms AS clip_end_ms FROM cues c JOIN clips k ON c.video_id = k.video_id AND c.end_ms > k.start_ms AND c.start_ms < k.end_ms"
 _CC = ["video_id", "clip_index", "cue_ord", "start_ms", "end_ms", "text", "clip_start_ms", "clip_end_ms"]
@@ -315,13 +316,33 @@ def s2(m: Model) -> DataFrame:
     return S.first_caption_files(S.parse_captions(_caption_files(m))).select("video_id", "is_auto", "language")
 
 
-@query("s3_info_tracks", "SELECT user_id::VARCHAR AS video_id, event_type AS language, event_id % 2 = 0 AS is_auto, count(*) AS entries FROM events GROUP BY ALL")
-def s3(m: Model) -> DataFrame:
+@query("s1_read_captions", sql("cues", body=r"SELECT video_id, CASE WHEN video_id::BIGINT % 5 > 0 THEN 'en' ELSE 'vi' END AS language, video_id::BIGINT % 5 = 0 AS is_auto, start_ms, end_ms, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM cues WHERE (video_id::BIGINT % 5 > 0 OR video_id::BIGINT % 2 = 1) AND regexp_matches(text, '[^\s]')"))
+def s1_files(m: Model) -> DataFrame:
+    """Files written, scanned and parsed: each video's manual captions, or the automatic ones where those are empty."""
+    folder = new_folder(m.spark, "captions")
+    write_captions(_caption_files(m), folder)
+    return S.read_captions(m.spark, folder).select("video_id", "language", "is_auto", "start_ms", "end_ms", "text")
+
+
+def _video_infos(m: Model) -> DataFrame:
     entry = F.struct(F.lit("vtt").alias("ext"), F.col("event_id").cast("string").alias("url"))
     lists = m.table("events").groupBy("user_id", (F.col("event_id") % 2 == 0).alias("auto"), "event_type").agg(F.collect_list(entry).alias("es"))
     chosen = lambda auto: F.map_from_entries(F.collect_list(F.when(F.col("auto") == auto, F.struct("event_type", "es"))))
-    info = lists.groupBy(F.col("user_id").cast("string").alias("id")).agg(F.lit("en").alias("language"), chosen(False).alias("subtitles"), chosen(True).alias("automatic_captions"))
-    return S.info_tracks(info).select("video_id", "language", "is_auto", F.size("entries").cast("long").alias("entries"))
+    return lists.groupBy(F.col("user_id").cast("string").alias("id")).agg(F.lit("en").alias("language"), chosen(False).alias("subtitles"), chosen(True).alias("automatic_captions"))
+
+
+@query("s3_read_video_info", "SELECT user_id::VARCHAR AS video_id, event_type AS language, event_id % 2 = 0 AS is_auto, count(*) AS entries, min(event_id) AS first FROM events GROUP BY ALL")
+def s3_files(m: Model) -> DataFrame:
+    """Metadata written as JSON and read back by its schema."""
+    folder = new_folder(m.spark, "info")
+    _video_infos(m).write.json(folder)
+    first = F.array_min(F.transform("entries", lambda e: e["url"].cast("long")))
+    return S.info_tracks(S.read_video_info(m.spark, folder)).select("video_id", "language", "is_auto", F.size("entries").cast("long").alias("entries"), first.alias("first"))
+
+
+@query("s3_info_tracks", "SELECT user_id::VARCHAR AS video_id, event_type AS language, event_id % 2 = 0 AS is_auto, count(*) AS entries FROM events GROUP BY ALL")
+def s3(m: Model) -> DataFrame:
+    return S.info_tracks(_video_infos(m)).select("video_id", "language", "is_auto", F.size("entries").cast("long").alias("entries"))
 
 
 @query("s4_clip_notes", "SELECT user_id::VARCHAR AS video_id, string_agg(event_type, chr(10) || chr(10) ORDER BY event_id) AS text FROM events WHERE event_id % 4 > 0 GROUP BY 1")
@@ -344,6 +365,14 @@ def s6(m: Model) -> DataFrame:
     return srt_texts(cues).select("video_id", "srt")
 
 
+@query("s6_write_srt", sql("cues", body=f"SELECT video_id, string_agg(n || chr(10) || {_SRT_T.format('start_ms')} || ' --> ' || {_SRT_T.format('end_ms')} || chr(10) || text || chr(10), chr(10) ORDER BY n) || chr(10) AS srt FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_ms, cue_ord) AS n FROM cues) GROUP BY 1"))
+def s6_files(m: Model) -> DataFrame:
+    """Subtitle files written and read back."""
+    folder = new_folder(m.spark, "srt")
+    write_srt(m.whole_clip().select("video_id", "clip_index", "cue_ord", F.col("start_ms").alias("rel_start_ms"), F.col("end_ms").alias("rel_end_ms"), F.col("text").alias("translated")), folder)
+    return m.spark.read.text(folder, wholetext=True).select(F.col("video_id").cast("string").alias("video_id"), F.col("value").alias("srt"))
+
+
 _EMB = "pairs AS (SELECT a.video_id, a.utt_id, a.cluster_id, b.cluster_id AS oc, 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embedded a JOIN embedded b ON a.video_id = b.video_id AND a.utt_id <> b.utt_id)"
 
 

@@ -84,11 +84,10 @@ def f9(m: Model) -> DataFrame:
     return m.table("documents").select("doc_id", D.transcript_preview(F.col("text"), F.col("lang"), F.col("doc_id") % 2 == 0).alias("preview"))
 
 
-@query("f10_strip_speaker_markers", r"""SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS cleaned FROM conversations WHERE NOT regexp_matches(text, '^\s*[A-Z][A-Za-z.''-]{1,24}(\s[A-Z][A-Za-z.''-]{1,24}){0,2}\s*:')""")
+@query("f10_strip_speaker_markers", r"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '^\s*[A-Z][A-Za-z.''-]{1,24}(\s[A-Z][A-Za-z.''-]{1,24}){0,2}\s*:(\s+|$)', ''), '\s+', ' ', 'g')) AS cleaned FROM conversations""")
 def f10(m: Model) -> DataFrame:
-    named = F.concat(F.lit(">> Joe: >> Mary Ann: "), F.col("text"), F.lit(" >> Bob:"))
-    plain = ~F.col("text").rlike(r"^\s*[A-Z][A-Za-z.'-]{1,24}(\s[A-Z][A-Za-z.'-]{1,24}){0,2}\s*:")
-    return m.table("conversations").where(plain).select("conv_id", "turn", X.single_spaced(X.strip_speaker_markers(named)).alias("cleaned"))
+    named = F.concat(F.lit(">> Joe: >> Mary Ann: >> "), F.col("text"), F.lit(" >> Bob:"))
+    return m.table("conversations").select("conv_id", "turn", X.single_spaced(X.strip_speaker_markers(named)).alias("cleaned"))
 
 
 @query("f11_remove_fillers")

@@ -35,8 +35,10 @@ def parse_captions(files: DataFrame) -> DataFrame:
 
 
 def caption_texts(spark: SparkSession, glob: str) -> DataFrame:
-    """file_name and value of whole caption files."""
-    return spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), "value")
+    """file_name and value of whole caption files, named by themselves or by a folder ``file_name=``."""
+    files = spark.read.text(glob, wholetext=True)
+    name = F.col("file_name" if "file_name" in files.columns else "_metadata.file_name")
+    return files.select(name.cast("string").alias("file_name"), "value")
 
 
 def caption_file_keys(files: DataFrame) -> DataFrame:

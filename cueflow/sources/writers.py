@@ -24,3 +24,8 @@ def write_srt(clip_cues: DataFrame, path: str) -> None:
 def write_manifest(results: DataFrame, path: str) -> None:
     """Result rows as Parquet, by status."""
     results.write.partitionBy("status").mode("overwrite").parquet(path)
+
+
+def write_captions(files: DataFrame, path: str) -> None:
+    """files(file_name, value) as a text in ``path/file_name=`` each, which ``read_captions`` reads."""
+    files.repartition("file_name").write.partitionBy("file_name").option("lineSep", "\n").mode("overwrite").text(path)
