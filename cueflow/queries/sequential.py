@@ -227,7 +227,18 @@ def _marked(text: str) -> str:
     return " ".join(f"<{w}>" for w in text.split())
 
 
-@query("c3_dub_plan")
+_DUBBED = """placed AS (SELECT c.video_id, c.cue_ord, c.start_ms, c.end_ms, c.text, b.seg_idx, b.speaker_label FROM cues c LEFT JOIN LATERAL (SELECT s.seg_idx, s.speaker_label FROM segments s WHERE s.video_id = c.video_id AND least(s.end_ms + 700, c.end_ms) > greatest(s.start_ms + 700, c.start_ms)
+    ORDER BY least(s.end_ms + 700, c.end_ms) - greatest(s.start_ms + 700, c.start_ms) DESC, s.seg_idx LIMIT 1) b ON true)"""
+_VOICED = r"""rolled AS (SELECT video_id, window_id, string_agg(q.text, ' ' ORDER BY cue_ord) AS text, arg_min(q.start_ms, cue_ord) AS start_ms, arg_max(q.end_ms, cue_ord) AS end_ms, min(q.speaker_label) AS speaker_label FROM win JOIN seq q USING (video_id, cue_ord) GROUP BY 1, 2),
+    speakers AS (SELECT video_id, speaker_label, min(seg_idx) AS f, CASE WHEN arg_min(gender, seg_idx) = 'male' THEN 'male' ELSE 'female' END AS voice FROM segments GROUP BY 1, 2),
+    voices AS (SELECT *, ['+0Hz', '-14Hz', '-28Hz', '-42Hz'][least(4, row_number() OVER (PARTITION BY video_id, voice ORDER BY f))] AS pitch FROM speakers),
+    lengths AS (SELECT 'wav:' || md5(text) AS result, max(end_ms - start_ms) AS raw FROM cues GROUP BY 1),
+    named AS (SELECT *, 'wav:' || md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS result FROM rolled)"""
+
+
+@query("c3_dub_plan", sql("cues", "segments", _DUBBED, _SEQ5, _windows("placed", _W5_CUT)[1], _VOICED, recursive=True, body="""SELECT n.video_id, n.window_id, n.speaker_label, coalesce(v.voice, 'female') AS voice, coalesce(v.pitch, '+0Hz') AS pitch, n.start_ms, n.end_ms,
+    round(CASE WHEN l.raw IS NULL OR l.raw <= 0 THEN 1.0 ELSE greatest(0.9, least(1.15, l.raw::DOUBLE / greatest(50, n.end_ms - n.start_ms))) END, 6) AS ratio, greatest(0, n.start_ms) AS delay_ms, n.result
+    FROM named n LEFT JOIN voices v ON v.video_id = n.video_id AND v.speaker_label = n.speaker_label LEFT JOIN lengths l ON l.result = n.result"""))
 def c3(m: Model) -> DataFrame:
     cues = m.whole_clip().drop("speaker_label")
     raw = m.cues().select(F.col("text").alias("t"), (F.col("end_ms") - F.col("start_ms")).alias("raw_ms"))
