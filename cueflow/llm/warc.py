@@ -31,8 +31,9 @@ VERSION, DATE = "WARC/1.1", "2024-01-01T00:00:00Z"
 _HIDDEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|head)\b.*?(?:</\1\s*>|$)", re.IGNORECASE | re.DOTALL)
 _BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|td|th|table|h[1-6]|section|article|header|footer|nav|main|aside|blockquote|pre|title|body|html)\b[^>]*>", re.IGNORECASE)
 _TAG = re.compile(r"<(?:/?[A-Za-z][^>]*|![^>]*)>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.IGNORECASE | re.DOTALL)
-_HREF = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
+_TITLE, _TITLE_END = re.compile(r"<title\b[^>]*>", re.IGNORECASE), re.compile(r"</title\s*>", re.IGNORECASE)
+_LINK, _NAME = re.compile(r"<a\b", re.IGNORECASE), re.compile(r"\bhref", re.IGNORECASE)
+_HREF = re.compile(r"""href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _BLANKS, _LINES = re.compile(r"[ \t\f\v\r\xa0]+"), re.compile(r" ?\n[ \n]*")
 
 
@@ -72,14 +73,47 @@ def value_of(headers: list[tuple[str, str]], name: str) -> str | None:
     return next((v for k, v in headers if k.lower() == name.lower()), None)
 
 
+# A tag that never closes must not be looked for from every place where one could open: each
+# search below goes over the page once.
+
+
+def _closed(pattern: re.Pattern, to: str, page: str) -> str:
+    """``pattern.sub``; it ends with ``>``, so what is behind the last one is left alone."""
+    end = page.rfind(">") + 1
+    return pattern.sub(to, page[:end]) + page[end:]
+
+
+def title_of(page: str) -> str | None:
+    """What stands between the first title tag and the first end of one behind it."""
+    begin = _TITLE.search(page, 0, page.rfind(">") + 1)
+    end = _TITLE_END.search(page, begin.end()) if begin else None
+    return page[begin.end() : end.start()] if end else None
+
+
+def links_of(page: str) -> list[str]:
+    """The first href of every ``a`` tag."""
+    out, at = [], 0
+    while tag := _LINK.search(page, at):
+        stop = page.find(">", tag.end())
+        stop = len(page) if stop < 0 else stop
+        name, value = _NAME.search(page, tag.end(), stop), None
+        while name and not (value := _HREF.match(page, name.start())):
+            name = _NAME.search(page, name.end(), stop)
+        if value:
+            out.append(html.unescape(next(g for g in value.groups() if g is not None)))
+        # Without a link no other place before the tag's end can begin one either.
+        at = value.end() if value else stop
+    return out
+
+
 def plain_text(page: str) -> str:
-    text = _TAG.sub(" ", _BREAK.sub("\n", _HIDDEN.sub(" ", page)))
+    text = _closed(_TAG, " ", _closed(_BREAK, "\n", _HIDDEN.sub(" ", page)))
     return _LINES.sub("\n", _BLANKS.sub(" ", html.unescape(text))).strip()
 
 
-def response(url: str | None, page: str, date: str = DATE) -> tuple[str, bytes]:
+def response(url: str | None, page: str | bytes, date: str = DATE) -> tuple[str, bytes]:
     """Id and bytes of the response record of a page."""
-    payload = page.encode()
+    payload = page.encode() if isinstance(page, str) else page
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
     name = record_id("response", url or "", payload)
     headers = [("WARC-Type", "response"), ("WARC-Record-ID", name), ("WARC-Date", date)]
@@ -107,12 +141,11 @@ def derive(data: bytes) -> list[dict]:
     except LookupError:
         page = payload.decode("utf-8", "replace")
     text = plain_text(page).encode()
-    title = _TITLE.search(page)
-    links = [html.unescape(next(g for g in m.groups() if g is not None)) for m in _HREF.finditer(page)]
+    title, links = title_of(page), links_of(page)
     conversion, metadata = record_id("conversion", source, text), record_id("metadata", source, text)
     one_line = lambda s: re.sub(r"\s+", " ", s).strip()
     fields = [
-        ("title", one_line(html.unescape(title[1])) if title else ""), ("charset", charset[1].lower() if charset else ""), ("http-status", status),
+        ("title", one_line(html.unescape(title or ""))), ("charset", charset[1].lower() if charset else ""), ("http-status", status),
         ("conversion-record-id", conversion), ("source-payload-digest", value_of(headers, "WARC-Payload-Digest") or digest(payload)),
         *((f"source-header-{k.lower()}", v) for k, v in http), *(("outlink", one_line(x)) for x in links),
     ]
@@ -139,7 +172,7 @@ def _respond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, _AT_ONCE):
             part = batch.slice(start, _AT_ONCE)
-            made = [response(u.as_py(), h.as_py() or "") for u, h in zip(part.column("url"), part.column("html"), strict=True)]
+            made = [response(None if not u.is_valid else u.as_py().decode("utf-8", "replace"), h.as_py() or b"") for u, h in zip(part.column("url"), part.column("html"), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("page_id"), pa.array([n for n, _ in made], pa.string()), pa.array([r for _, r in made], pa.binary())], names=["page_id", "response_id", "record"])
 
 
@@ -159,7 +192,7 @@ def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def page_responses(pages: DataFrame) -> DataFrame:
     """page_id, response_id and record (bytes) of every page."""
-    return pages.select("page_id", "url", "html").mapInArrow(_respond, "page_id long, response_id string, record binary")
+    return pages.select("page_id", F.col("url").cast("binary").alias("url"), F.col("html").cast("binary").alias("html")).mapInArrow(_respond, "page_id long, response_id string, record binary")
 
 
 def derivatives(responses: DataFrame) -> DataFrame:

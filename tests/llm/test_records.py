@@ -4,7 +4,9 @@ import base64
 import bz2
 import gzip
 import hashlib
+import random
 import re
+import time
 from collections import Counter
 
 import corpus_pipeline
@@ -207,3 +209,30 @@ def test_pipeline_stages(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, before.limit(0), sf_dir).count() == 0
 
+
+
+def test_pages_are_searched_in_one_pass():
+    """Titles, links and texts are those of plain patterns, and open tags without end cost no more than others."""
+    title = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.IGNORECASE | re.DOTALL)
+    link = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
+    rng = random.Random(12)
+    bits = ["<a ", "<a", "href", "=", " ", '"', "'", "x", ">", "<title", "<title>", "</title", "</title >", "HREF='y'", 'href="z"', "<p", "<!", "<b ", "\n", "b", "-href=1"]
+    for _ in range(20_000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randint(0, 25)))
+        assert warc.links_of(page) == [next(g for g in m.groups() if g is not None) for m in link.finditer(page)], page
+        assert warc.title_of(page) == (m[1] if (m := title.search(page)) else None), page
+        for pattern in (warc._TAG, warc._BREAK):
+            assert warc._closed(pattern, "|", page) == pattern.sub("|", page), page
+    began = time.monotonic()
+    for bit in ("<a ", "<a >", "<title>", "<title", "<p", "<p ", "<a href=", "<!", "</title", "<a\n"):
+        for end in ("", ">"):
+            page = bit * (1_000_000 // len(bit)) + end
+            warc.title_of(page), warc.links_of(page), warc.plain_text(page)
+    assert time.monotonic() - began < 60
+
+
+def test_pages_that_are_no_utf8(spark):
+    df = spark.sql("SELECT 1L AS page_id, cast(unhex('68ff') AS string) AS url, cast(unhex('3c703e61ff62') AS string) AS html")
+    out = warc.derivatives(warc.page_responses(df)).collect()
+    assert {r.record_type for r in out} == {"metadata", "conversion"} and all(r.error is None for r in out)
+    assert next(bytes(r.record) for r in out if r.record_type == "conversion").endswith("a\ufffdb".encode() + b"\r\n\r\n")
