@@ -202,5 +202,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``documents`` without the contaminated ones."""
-    bad = stored(contaminated(documents, benchmark).select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")
-    return documents.join(bad, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti")
+    bad = stored(contaminated(documents, benchmark).select("doc_id").distinct(), "leaked")
+    # Rows travel whole, so that no name of theirs meets one of ours.
+    rows = documents.select(F.struct("*").alias("row"))
+    return rows.join(bad, F.col("row.doc_id").eqNullSafe(bad["doc_id"]), "left_anti").select("row.*")

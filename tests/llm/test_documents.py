@@ -322,6 +322,9 @@ def test_decontamination(spark, nothing):
     finally:
         module.BROADCAST_WINDOWS = limit
     assert {r.doc_id for r in decontaminated(docs, bench).collect()} == {r[0] for r in rows} - got
+    clash = docs.select("*", *[F.lit("clash").alias(x) for x in ("_leaked", "row", "item_id", "window", "pos", "k", "slots", "best", "coverage")])
+    assert {(r.doc_id, r._leaked, r.row) for r in decontaminated(clash, bench).collect()} == {(r[0], "clash", "clash") for r in rows if r[0] not in got}
+    assert decontaminated(clash, bench).columns == clash.columns and {r.doc_id for r in contaminated(clash, bench.union(bench)).collect()} == got
     assert contaminated(nothing, bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
 
 
