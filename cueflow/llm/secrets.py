@@ -55,6 +55,8 @@ _STRING_BYTES = re.compile(rf"""(?<=(["']))(?:{_STRING_ESCAPE}|(?!\1)[\x20-\x5b\
 _UNITS = {"%": re.compile("%..|."), "\\": re.compile(rf"{_STRING_ESCAPE}|.", re.DOTALL)}
 _STRING_BYTE = re.compile(rb"\\x([0-9A-Fa-f]{2})|\\u00([0-9A-Fa-f]{2})|\\([nrt\\'\"])")
 _PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|x[\x01\x5e\x9c\xda]")
+#: What a secret, or a layer with one, has at least; bytes of another alignment seldom do.
+_READABLE = re.compile(rb"[\x20-\x7e]{8}")
 _ESCAPED = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 
 
@@ -199,11 +201,19 @@ def _unpacked(parts: Iterator[bytes], seen: frozenset[bytes] = frozenset()) -> I
     yield from _unpacked(itertools.chain([head], inner), seen | {key})
 
 
-def _packed_layers(data: bytes, start: int, end: int) -> Iterator[tuple[Layer, bool]]:
+def _chunks(data: memoryview) -> Iterator[bytes]:
+    """The bytes in growing parts: what only looks packed is given up after the first."""
+    at, size = 0, 4096
+    while at < len(data):
+        yield bytes(data[at : at + size])
+        at, size = at + size, min(4 * size, 1 << 20)
+
+
+def _packed_layers(data: bytes | memoryview, start: int, end: int) -> Iterator[tuple[Layer, bool]]:
     """Layers of the unpacked bytes, all of them from start to end of the original; none if they are not packed."""
     if not _is_packed(data):
         return
-    parts = _members(iter([data]))
+    parts = _members(_chunks(memoryview(data)))
     if (head := next(parts, None)) is None:
         return
     key = frozenset([hashlib.sha256(data).digest()])
@@ -248,24 +258,32 @@ def _wrapped(text: str) -> Iterator[list[re.Match]]:
 
 
 def _base64_layers(layer: Layer) -> Iterator[tuple[Layer, bool]]:
+    """Layers of base64 in the text, from each of four alignments: a blob may begin anywhere in a
+    run, as behind ``/``, ``_`` or ``-``, which are of its alphabet too."""
     runs = ([m] for m in _BASE64.finditer(layer.text))
     for parts in itertools.chain(runs, _wrapped(layer.text) if "\n" in layer.text else ()):
-        body = "".join(m[0] for m in parts).rstrip("=")
-        # A last character of six bits holds no byte.
-        body = body[: len(body) - (len(body) % 4 == 1)]
-        try:
-            data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        packed = False
-        for new in _packed_layers(data, layer.starts[parts[0].start()], layer.ends[parts[-1].end() - 1]):
-            packed = True
-            yield new
-        if not packed:
-            places = range(parts[0].start(), parts[0].end()) if len(parts) == 1 else [i for m in parts for i in range(m.start(), m.end())]
+        whole = "".join(m[0] for m in parts).rstrip("=").replace("-", "+").replace("_", "/")
+        places = range(parts[0].start(), parts[0].end()) if len(parts) == 1 else [i for m in parts for i in range(m.start(), m.end())]
+        end = layer.ends[parts[-1].end() - 1]
+        for offset in range(4):
+            body = whole[offset:]
+            # A last character of six bits holds no byte.
+            body = body[: len(body) - (len(body) % 4 == 1)]
+            try:
+                data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+            except (binascii.Error, ValueError):
+                continue
+            packed = False
+            for new in _packed_layers(data, layer.starts[places[offset]], end) if data else ():
+                packed = True
+                yield new
+            for head in _PACKED.finditer(data, 1):
+                yield from _packed_layers(memoryview(data)[head.start() :], layer.starts[places[offset + 4 * head.start() // 3]], end)
+            if packed or (offset and not _READABLE.search(data)):
+                continue
             plain = _characters(data)
-            starts = [layer.starts[places[4 * a // 3]] for _, a, _ in plain]
-            ends = [layer.ends[places[min((4 * z - 1) // 3, len(places) - 1)]] for _, _, z in plain]
+            starts = [layer.starts[places[offset + 4 * a // 3]] for _, a, _ in plain]
+            ends = [layer.ends[places[min(offset + (4 * z - 1) // 3, len(places) - 1)]] for _, _, z in plain]
             yield Layer("".join(c for c, _, _ in plain), starts, ends), False
 
 
@@ -282,11 +300,11 @@ def _escaped_archives(layer: Layer) -> Iterator[tuple[Layer, bool]]:
         for m in pattern.finditer(layer.text):
             if sign not in m[0]:
                 continue
-            data = decode(m[0])
+            data, units = decode(m[0]), None
             for head in _PACKED.finditer(data):
-                # Every unit of the run is a byte.
-                unit = next(itertools.islice(_UNITS[sign].finditer(m[0]), head.start(), None))
-                yield from _packed_layers(data[head.start() :], layer.starts[m.start() + unit.start()], layer.ends[m.end() - 1])
+                if units is None:  # every unit of the run is a byte
+                    units = np.fromiter((u.start() for u in _UNITS[sign].finditer(m[0])), np.int64)
+                yield from _packed_layers(memoryview(data)[head.start() :], layer.starts[m.start() + int(units[head.start()])], layer.ends[m.end() - 1])
 
 
 def unwrapped(layer: Layer) -> Iterator[tuple[Layer, bool]]:

@@ -236,3 +236,25 @@ def test_pages_that_are_no_utf8(spark):
     out = warc.derivatives(warc.page_responses(df)).collect()
     assert {r.record_type for r in out} == {"metadata", "conversion"} and all(r.error is None for r in out)
     assert next(bytes(r.record) for r in out if r.record_type == "conversion").endswith("a\ufffdb".encode() + b"\r\n\r\n")
+
+
+def test_blobs_inside_of_runs_are_unwrapped():
+    secret = "password=hunter2hunter2"
+    blob = base64.b64encode(secret.encode()).decode()
+    zipped = base64.b64encode(gzip.compress(secret.encode() * 3)).decode()
+    twice = base64.b64encode(f"a/{blob}/b".encode()).decode()
+    for text in (f"see {blob}", f"https://h/d/{blob}", f"v1-{blob}", f"k_{blob}", f"a/{blob}/b", f"ab/{blob}", f"abc_{blob}-x", f"abcd+{blob}", f"q-{twice}"):
+        _, found, _ = secrets.scan(text)
+        assert [(text[a:z] in text[text.find(blob[:4]) if blob in text else 0 :], kind) for a, kind, z in found] == [(True, 0)], text
+        if blob in text:
+            (a, _, z), at = next(iter(found)), text.index(blob)
+            assert at <= a < at + 2 and at + len(blob.rstrip("=")) - 2 <= z <= at + len(blob), text
+    for text in (f"v1-{zipped}", f"https://h/dd/{zipped}", f"x_{zipped}"):
+        assert {kind for _, kind, _ in secrets.scan(text)[1]} == {0}, text
+
+
+def test_fake_archive_heads_cost_their_place_only():
+    began = time.monotonic()
+    for text in ("%78%9C" * 100_000, "%1F%8B%08" * 50_000, base64.b64encode(b"x\x9c" * 200_000).decode(), "\\x78\\x9c" * 60_000):
+        secrets.scan(text)
+    assert time.monotonic() - began < 60
