@@ -101,8 +101,12 @@ def f12(m: Model) -> DataFrame:
     return m.line_cues().select("video_id", "cue_ord", X.dedupe_repeats(F.col("text")).alias("r")).select("video_id", "cue_ord", "r.text", "r.removed")
 
 
-@query("f13_capitalize_first", r"""SELECT doc_id, CASE WHEN regexp_matches(t, '^[ \t]*\p{L}') THEN regexp_extract(t, '^[ \t]*') || upper(substr(t, length(regexp_extract(t, '^[ \t]*')) + 1, 1)) || substr(t, length(regexp_extract(t, '^[ \t]*')) + 2) ELSE t END AS shown
-    FROM (SELECT doc_id, '  ' || lower(text) AS t FROM documents)""")
+#: DuckDB maps letters one to one; these become several in upper case, and İ becomes two in lower case.
+_SEVERAL = "MAP {" + ", ".join(f"'{c}': '{c.upper()}'" for c in map(chr, range(0x80, 0x10000)) if len(c.upper()) > 1) + "}"
+
+
+@query("f13_capitalize_first", rf"""SELECT doc_id, CASE WHEN c <> '' THEN b || coalesce({_SEVERAL}[c], upper(c)) || substr(t, length(b) + 2) ELSE t END AS shown
+    FROM (SELECT *, regexp_extract(t, '^[ \t]*') AS b, regexp_extract(t, '^[ \t]*(\p{{L}})', 1) AS c FROM (SELECT doc_id, '  ' || lower(replace(text, 'İ', 'i' || chr(775))) AS t FROM documents))""")
 def f13(m: Model) -> DataFrame:
     return m.table("documents").select("doc_id", X.capitalize_first(F.concat(F.lit("  "), F.lower("text"))).alias("shown"))
 
