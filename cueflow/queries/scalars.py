@@ -287,7 +287,7 @@ def p16(m: Model) -> DataFrame:
 
 
 @query("p17_summary_row", sql("results", body="""SELECT video_id, clip_index, coalesce(output_filename, printf('clip_%02d.mp4', clip_index)) AS file,
-    coalesce(lpad((t // 60)::VARCHAR, 2, '0') || ':' || lpad((t % 60)::VARCHAR, 2, '0'), '-') AS duration, CASE WHEN file_size_bytes < 1024 THEN file_size_bytes || ' B' WHEN file_size_bytes < 1048576 THEN printf('%.1f KB', file_size_bytes / 1024.0)
+    coalesce(CASE WHEN t >= 3600 THEN (t // 3600) || ':' || lpad((t // 60 % 60)::VARCHAR, 2, '0') ELSE lpad((t // 60)::VARCHAR, 2, '0') END || ':' || lpad((t % 60)::VARCHAR, 2, '0'), '-') AS duration, CASE WHEN file_size_bytes < 1024 THEN file_size_bytes || ' B' WHEN file_size_bytes < 1048576 THEN printf('%.1f KB', file_size_bytes / 1024.0)
     WHEN file_size_bytes < 1073741824 THEN printf('%.1f MB', file_size_bytes / 1048576.0) WHEN file_size_bytes < 1099511627776 THEN printf('%.1f GB', file_size_bytes / 1073741824.0) ELSE printf('%.1f TB', file_size_bytes / 1099511627776.0) END AS size, CASE WHEN status = 'Done' THEN '✓ Done' ELSE '✗ Failed' END AS status_label, CASE WHEN clip_index % 2 = 0 THEN '—' ELSE '[EN] ' || status END AS transcript
     FROM (SELECT *, round_even(actual_duration_ms / 1000.0, 0)::BIGINT AS t FROM results)"""))
 def p17(m: Model) -> DataFrame:
