@@ -77,8 +77,10 @@ def x3_default(m: Model) -> DataFrame:
     return X.debounce(m.events().select("ts", F.col("event_type").alias("key"), F.col("event_id").alias("value"))).select("key", "edits", "value")
 
 
-_ADMIT = """ordered AS (SELECT user_id, event_id, epoch_ms(ts) AS t, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS i FROM events),
-    walked AS (SELECT user_id, event_id, t, i, {first} AS at, true AS ok FROM ordered WHERE i = 1 UNION ALL SELECT o.user_id, o.event_id, o.t, o.i, {step} FROM walked w JOIN ordered o ON o.user_id = w.user_id AND o.i = w.i + 1)"""
+#: ``epoch_ms`` rounds half milliseconds up, so that times are cut to milliseconds first.  A null key is a key; rows without a time don't pass.
+_ADMIT = """timed AS (SELECT user_id, event_id, event_type, epoch_ms(date_trunc('milliseconds', ts)) AS t FROM events),
+    ordered AS (SELECT user_id, event_id, t, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM timed WHERE t IS NOT NULL),
+    walked AS (SELECT user_id, event_id, t, i, {first} AS at, true AS ok FROM ordered WHERE i = 1 UNION ALL SELECT o.user_id, o.event_id, o.t, o.i, {step} FROM walked w JOIN ordered o ON o.user_id IS NOT DISTINCT FROM w.user_id AND o.i = w.i + 1)"""
 
 
 @query("x4_throttle", sql(_ADMIT.format(first="t", step="CASE WHEN o.t - w.at >= 7200000 THEN o.t ELSE w.at END, o.t - w.at >= 7200000"), recursive=True, body="SELECT user_id AS key, event_id FROM walked WHERE ok"))
