@@ -29,8 +29,10 @@ OPENERS = {
 LANGUAGE_ALIASES = {"zh-Hans": "zh-CN", "zh-Hant": "zh-TW", "zh-CN": "zh-CN", "zh-TW": "zh-TW", "zh": "zh-CN"}
 
 _LONGEST_FIRST = "|".join(sorted(CONTEXTUAL_FILLERS, key=len, reverse=True))
-_INTERJECTION = rf"(?iU)\s*\b(?:{'|'.join(INTERJECTIONS)})\b\s*,?\s*"
-_STARTING = rf"(?iU)(?:^|(?<=[.!?])\s+)(?:{_LONGEST_FIRST})\s*,\s*"
+# A look at the first character spares most places the dearer tests behind it.
+_FIRST = "".join(sorted({w[0] for w in INTERJECTIONS}))
+_INTERJECTION = rf"(?iU)(?=[\s{_FIRST}])\s*(?=[{_FIRST}])\b(?:{'|'.join(INTERJECTIONS)})\b\s*,?\s*"
+_STARTING = rf"(?iU)(?:^|(?=\s)(?<=[.!?])\s+)(?:{_LONGEST_FIRST})\s*,\s*"
 _ENCLOSED = rf"(?iU),\s*(?:{_LONGEST_FIRST})\s*,"
 _OPENER = rf"(?iU)^\s*({'|'.join(sorted(OPENERS, key=len, reverse=True))})\s*,\s*"
 
@@ -49,8 +51,15 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(words(text)), F.lit(0))
 
 
+def _stripped(text: Column) -> Column:
+    """``strip``, but a text is only searched if white space stands at one of its ends."""
+    ends = lambda t: F.concat(F.substring(t, 1, 1), F.substring(t, -1, 1))
+    return let(text, lambda t: F.when(ends(t).rlike(r"(?U)\s"), strip(t)).otherwise(t))
+
+
 def single_spaced(text: Column) -> Column:
-    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    """White space is one blank each, none at the ends; single blanks are left as they are."""
+    return _stripped(F.regexp_replace(text, r"(?U) \s++|[^\S ]\s*+", " "))
 
 
 def strip_tags(text: Column) -> Column:
@@ -63,9 +72,9 @@ def strip_speaker_markers(text: Column) -> Column:
 
     def content(piece: Column) -> Column:
         bare = piece.rlike(rf"^{SPEAKER}(?U:\s)*$")
-        return F.when(bare, "").otherwise(strip(F.regexp_replace(piece, rf"^{SPEAKER}(?U:\s)+", "")))
+        return F.when(bare, "").otherwise(_stripped(F.regexp_replace(piece, rf"^{SPEAKER}(?U:\s)+", "")))
 
-    pieces = F.transform(F.transform(F.split(text, ">>+"), strip), content)
+    pieces = F.transform(F.transform(F.split(text, ">>+"), _stripped), content)
     return F.array_join(F.filter(pieces, lambda p: p != ""), " ")
 
 
@@ -104,16 +113,23 @@ def remove_fillers(text: Column) -> Column:
 
     def tidied(s: Column) -> Column:
         out = s["text"]
-        for pattern, to in ((r"(?U)\s+,", ","), (r"(?U),\s*,", ","), (r"(?U)^\s*,\s*", "")):
+        for pattern, to in ((r"(?U)\s++,", ","), (r"(?U),\s*+,", ","), (r"(?U)^\s*+,\s*+", "")):
             out = F.regexp_replace(out, pattern, to)
-        return _counted(single_spaced(out), s["removed"])
+        return _counted(single_spaced(F.when(F.contains(s["text"], F.lit(",")), out).otherwise(s["text"])), s["removed"])
 
     return let(state, tidied)
 
 
 def repeat_pattern(n: int) -> str:
-    """A phrase of n words that repeats at once, with or without commas between."""
-    return rf"(?iU)\b(\w+(?:\s+\w+){{{n - 1}}})\b(?:[,]?\s+\1\b)+"
+    """A phrase of n words that repeats at once, with or without commas between.
+
+    Words and white space are taken as wholes: giving back a part of them never helps.
+    """
+    return rf"(?iU)\b(\w++(?:\s++\w++){{{n - 1}}})(?:,?\s++\1\b)++"
+
+
+#: A word that comes again as one of the next three: in every repeat of phrases of up to three words the first one does.
+_RECURRING = r"(?iU)\b(\w++)(?:,?\s++\w++){0,2}?,?\s++\1\b"
 
 
 def _collapsed(state: Column, n: int) -> Column:
@@ -128,10 +144,20 @@ def _collapsed(state: Column, n: int) -> Column:
 
 
 def dedupe_repeats(text: Column) -> Column:
-    """struct(text, removed): immediate repeats of three-, two- and one-word phrases, in two passes."""
-    state = _counted(text, F.lit(0))
-    for n in (3, 2, 1, 3, 2, 1):
-        state = _collapsed(state, n)
+    """struct(text, removed): immediate repeats of three-, two- and one-word phrases, in two passes.
+
+    Most texts have no word that recurs so soon, which one search tells; what the first pass leaves as it is needs no second.
+    """
+
+    def passed(state: Column) -> Column:
+        for n in (3, 2, 1):
+            state = _collapsed(state, n)
+        return state
+
+    def again(s: Column) -> Column:
+        return let(passed(s), lambda once: F.when(once["removed"] == s["removed"], once).otherwise(passed(once)))
+
+    state = let(_counted(text, F.lit(0)), lambda s: F.when(s["text"].rlike(_RECURRING), again(s)).otherwise(s))
     return let(state, lambda s: _counted(single_spaced(s["text"]), s["removed"]))
 
 
