@@ -18,7 +18,20 @@ def srt_texts(clip_cues: DataFrame) -> DataFrame:
 
 def write_srt(clip_cues: DataFrame, path: str) -> None:
     """A text file in ``path/video_id=/clip_index=`` per clip; clips without cues have none."""
-    srt_texts(clip_cues).repartition(*CLIP).write.partitionBy(*CLIP).option("lineSep", "\n").mode("overwrite").text(path)
+    write_texts(srt_texts(clip_cues), path, *CLIP)
+
+
+def write_texts(texts: DataFrame, path: str, *keys: str) -> None:
+    """A text file in ``path/key=/...`` per row.
+
+    Each task moves its files into place as it ends; by Hadoop's older rule the driver would
+    move all of them, one after the other, behind the last task.  A run that fails leaves files,
+    but no ``_SUCCESS``.  A file costs far more than its bytes, so the number of tasks is set:
+    by bytes, adaptive execution would leave one task for thousands of files.
+    """
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.repartition(tasks, *keys).write.partitionBy(*keys).option("lineSep", "\n")
+    dealt.option("mapreduce.fileoutputcommitter.algorithm.version", "2").mode("overwrite").text(path)
 
 
 def write_manifest(results: DataFrame, path: str) -> None:
@@ -28,4 +41,4 @@ def write_manifest(results: DataFrame, path: str) -> None:
 
 def write_captions(files: DataFrame, path: str) -> None:
     """files(file_name, value) as a text in ``path/file_name=`` each, which ``read_captions`` reads."""
-    files.repartition("file_name").write.partitionBy("file_name").option("lineSep", "\n").mode("overwrite").text(path)
+    write_texts(files, path, "file_name")
