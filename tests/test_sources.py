@@ -129,3 +129,12 @@ def test_clusters_find_planted_groups(spark):
 def test_corpus_clusters_refuse_nothing(spark, sf_dir):
     emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("utt_id"), "embedding")
     assert V.cluster_corpus(emb, 4).count() == emb.count()
+
+
+def test_files_are_written_by_several_tasks(spark, tmp_path):
+    """Small files were left to one task by adaptive execution."""
+    from cueflow.sources.writers import write_captions
+
+    write_captions(spark.createDataFrame([(f"transcript_{i}.manual.en.vtt", "WEBVTT") for i in range(40)], "file_name string, value string"), str(tmp_path / "files"))
+    written = list((tmp_path / "files").rglob("part-*"))
+    assert len(written) == 40 and len({p.name.split("-")[1] for p in written}) > 1
