@@ -5,12 +5,10 @@ Letters, word edges and white space are Unicode's, as in ``(?U)`` of Java's expr
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cueflow.functions.times import strip
+from cueflow.functions.times import let, strip
 
 # Speaker names, fillers, openers and language codes that right results depend on.
 SPEAKER = r"[A-Z][A-Za-z.'-]{1,24}(?:(?U:\s)[A-Z][A-Za-z.'-]{1,24}){0,2}(?U:\s)*:"
@@ -37,11 +35,6 @@ _ENCLOSED = rf"(?iU),\s*(?:{_LONGEST_FIRST})\s*,"
 _OPENER = rf"(?iU)^\s*({'|'.join(sorted(OPENERS, key=len, reverse=True))})\s*,\s*"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def words(text: Column) -> Column:
     """The words between white space; no empty ones."""
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ VTT_STAMP = r"(?:(\d{2}):)?(\d{2}):(\d{2})\.(\d{3})"
 CLIP_STAMP = r"^\d{1,2}(:\d{2}){1,2}$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without white space (of any script) at either end."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -17,10 +24,14 @@ def strip(text: Column) -> Column:
 
 def parse_timestamp_ms(text: Column) -> Column:
     """``M?M:SS`` or ``H?H:MM:SS`` as milliseconds; null if it isn't one or a part is over 59."""
-    parts = F.split(F.when(strip(text).rlike(CLIP_STAMP), strip(text)), ":")
-    part = lambda i: F.coalesce(F.try_element_at(F.reverse(parts), F.lit(i)).cast("long"), F.lit(0))
-    seconds, minutes, hours = part(1), part(2), part(3)
-    return F.when(parts.isNotNull() & (seconds < 60) & (minutes < 60), ((hours * 60 + minutes) * 60 + seconds) * 1000)
+
+    def parsed(parts: Column) -> Column:
+        part = lambda i: F.coalesce(F.try_element_at(F.reverse(parts), F.lit(i)).cast("long"), F.lit(0))
+        whole = lambda s, m, h: F.when(parts.isNotNull() & (s < 60) & (m < 60), ((h * 60 + m) * 60 + s) * 1000)
+        return whole(part(1), part(2), part(3))
+
+    split = lambda t: F.split(F.when(t.rlike(CLIP_STAMP), t), ":")
+    return let(let(strip(text), split), parsed)
 
 
 def stamp_ms(hours: Column, minutes: Column, seconds: Column, millis: Column) -> Column:

@@ -135,6 +135,8 @@ def zip_pairs(notes: DataFrame) -> DataFrame:
         F.regexp_extract_all("text", F.lit(END_NOTE), F.lit(1)).alias("ends"), F.regexp_extract_all("text", F.lit(LABEL_NOTE), F.lit(1)).alias("labels"),
     )
     n = F.least(F.size("starts"), F.size("ends"))
+    # Parsed before they become rows, so that a filter on times doesn't parse them again.
     pairs = F.arrays_zip(F.slice("starts", F.lit(1), n).alias("s"), F.slice("ends", F.lit(1), n).alias("e"))
-    each = found.select("video_id", "labels", F.posexplode(pairs).alias("pair_no", "p"))
-    return each.select("video_id", "pair_no", parse_timestamp_ms(F.col("p.s")).alias("start_ms"), parse_timestamp_ms(F.col("p.e")).alias("end_ms"), F.try_element_at("labels", F.col("pair_no") + 1).alias("label_no"))
+    parsed = F.transform(pairs, lambda p: F.struct(parse_timestamp_ms(p["s"]).alias("start_ms"), parse_timestamp_ms(p["e"]).alias("end_ms")))
+    each = found.select("video_id", "labels", F.posexplode(parsed).alias("pair_no", "p"))
+    return each.select("video_id", "pair_no", "p.start_ms", "p.end_ms", F.try_element_at("labels", F.col("pair_no") + 1).alias("label_no"))

@@ -234,3 +234,14 @@ def test_rolling_text_of_a_long_clip(spark):
     assert out.excerpt == rolled_together(texts) and out.n_words == len(out.excerpt.split())
     same = cues(spark, [(i, i + 1, "a a a a b", None) for i in range(50)] + [(60, 61, "", None), (61, 62, "a b a", None)])
     assert W.merge_rolling_text(same).first().excerpt == rolled_together(["a a a a b"] * 50 + ["", "a b a"])
+
+
+def test_stamps_are_parsed_once(spark):
+    """A filter on times and their use don't make a plan that parses every stamp over and over."""
+    from cueflow.operators.predicates import valid_clip_range
+
+    text = "Start Time: 07:55\nEnd Time: 08:51\nStart Time: 10:00 End Time: 09:00\nstart time - 1:02:09 end time\n1:03:00\nStart Time 00:61 End Time 2:00"
+    clips = W.reindex_clips(valid_clip_range(J.zip_pairs(spark.createDataFrame([("v", text)], "video_id string, text string"))))
+    got = [(r.clip_index, r.start_ms, r.end_ms, r.label) for r in clips.orderBy("clip_index").collect()]
+    assert got == [(1, 475000, 531000, "Clip 1"), (2, 3729000, 3780000, "Clip 2")]
+    assert clips._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 2
