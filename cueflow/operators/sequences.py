@@ -265,18 +265,23 @@ def merge_rolling_text(clip_cues: DataFrame) -> DataFrame:
 
 def word_shares(counts: Column, total_words: Column) -> Column:
     """How many of total_words each cue with these word counts gets: in proportion, one each while possible."""
-    n = F.size(counts)
-    weights = F.transform(counts, lambda c: F.greatest(c, F.lit(1)))
-    weight = F.aggregate(weights, F.lit(0), lambda s, c: s + c)
-
-    def step(s: Column, c: Column) -> Column:
-        i = F.size(s["out"])
-        share = F.greatest(F.lit(1), F.rint(total_words * c / weight).cast("int"))
-        share = F.greatest(F.least(share, total_words - s["sum"] - (n - i - 1)), F.lit(0))
-        share = F.when(i == n - 1, total_words - s["sum"]).otherwise(share)
-        return F.struct((s["sum"] + share).alias("sum"), F.array_append(s["out"], share).alias("out"))
-
-    return F.aggregate(weights, F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("out")), step, lambda s: s["out"])
+
+    def shared(total: Column, weights: Column, weight: Column) -> Column:
+        n = F.size(weights)
+
+        def step(s: Column, c: Column) -> Column:
+            i = F.size(s["out"])
+            share = F.greatest(F.lit(1), F.rint(total * c / weight).cast("int"))
+            share = F.greatest(F.least(share, total - s["sum"] - (n - i - 1)), F.lit(0))
+            share = F.when(i == n - 1, total - s["sum"]).otherwise(share)
+            return once(share, lambda x: F.struct((s["sum"] + x).alias("sum"), F.array_append(s["out"], x).alias("out")))
+
+        return F.aggregate(weights, F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("out")), step, lambda s: s["out"])
+
+    # Counts and totals are made once, not once a cue.
+    summed = lambda w: F.struct(w.alias("w"), F.aggregate(w, F.lit(0), lambda s, c: s + c).alias("sum"))
+    weighed = once(F.transform(counts, lambda c: F.greatest(c, F.lit(1))), summed)
+    return once(F.struct(total_words.alias("total"), weighed.alias("weights")), lambda x: shared(x["total"], x["weights"]["w"], x["weights"]["sum"]))
 
 
 def split_by_word_ratio(windows: DataFrame) -> DataFrame:

@@ -245,3 +245,11 @@ def test_stamps_are_parsed_once(spark):
     got = [(r.clip_index, r.start_ms, r.end_ms, r.label) for r in clips.orderBy("clip_index").collect()]
     assert got == [(1, 475000, 531000, "Clip 1"), (2, 3729000, 3780000, "Clip 2")]
     assert clips._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 2
+
+
+def test_word_shares_count_once(spark):
+    """Every text is counted once, not once for each cue of its window."""
+    rows = [("v", 1, 0, [(0, "a b c"), (1, "d"), (2, "e f")], "1 2 3 4 5 6 7"), ("v", 1, 1, [(3, "a"), (4, "")], "x"), ("v", 1, 2, [(5, "b")], "p  q"), ("v", 1, 3, [], "r")]
+    out = W.split_by_word_ratio(spark.createDataFrame(rows, "video_id string, clip_index int, window_id int, cues array<struct<cue_ord int, text string>>, translated string"))
+    assert {r.cue_ord: r.part for r in out.collect()} == {0: "1 2 3 4", 1: "5", 2: "6 7", 3: "", 4: "x", 5: "p  q"}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 3
