@@ -10,6 +10,8 @@ from cueflow.operators.predicates import completed_media
 #: Preferred languages after the original, and clients by order of trial.
 PREFERRED_LANGUAGES = ("vi", "en")
 CLIENT_ORDER = ("default", "tv", "ios", "android")
+#: Buckets of paths that are counted, and rows of a bucket that stay together.
+BUCKETS, SPREAD = 1 << 16, 100_000
 
 
 def first_per(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -67,15 +69,24 @@ def pick_format(formats: DataFrame, height: int | None = None, progressive_only:
 
 def resolve_artifact(candidates: DataFrame, files: DataFrame) -> DataFrame:
     """The file of each video: the first of its candidate paths (array, in order) that is
-    complete, as itself or as ``.mp4``; else its newest complete ``source_<id>_`` file."""
+    complete, as itself or as ``.mp4``; else its newest complete ``source_<id>_`` file.
+
+    A path that many videos name is dealt over salts, of as many rows each as SPREAD says.  Rows
+    are dealt by video before they are aggregated, as paths sort in every task that reads them
+    otherwise: then what a task holds doesn't grow with the tables.
+    """
     done = completed_media(files).select("path", "modificationTime")
-    each = candidates.select("video_id", F.posexplode("paths").alias("pos", "path"))
-    tries = each.select("video_id", F.col("pos") * 2, "path").toDF("video_id", "pos", "path").unionByName(
-        each.select("video_id", (F.col("pos") * 2 + 1).alias("pos"), F.regexp_replace("path", r"(?<=[^/])\.[^./]+$|$", ".mp4").alias("path")).withColumn("path", F.regexp_replace("path", r"(\.mp4)+$", ".mp4"))
-    )
-    direct = tries.join(done, "path").groupBy("video_id").agg(F.min_by("path", "pos").alias("direct"))
+    as_mp4 = lambda p: F.regexp_replace(F.regexp_replace(p, r"(?<=[^/])\.[^./]+$|$", ".mp4"), r"(\.mp4)+$", ".mp4")
+    tries = F.transform("paths", lambda p, i: F.array(F.struct((i * 2).alias("pos"), p.alias("path")), F.struct((i * 2 + 1).alias("pos"), as_mp4(p).alias("path"))))
+    each = candidates.select("video_id", F.inline(F.flatten(tries)))
+    bucket = F.pmod(F.xxhash64("path"), F.lit(BUCKETS)).alias("_bucket")
+    common = F.broadcast(each.groupBy(bucket).agg(F.ceil(F.count("*") / SPREAD).alias("_salts")).where("_salts > 1"))
+    salted = each.select("*", bucket).join(common, "_bucket", "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("video_id"), F.col("_salts")), F.lit(0)))
+    existing = done.select("path", bucket).join(common, "_bucket", "left").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - 1)).alias("_salt"))
+    hits = salted.join(existing, ["path", "_salt"], "left_semi").select("video_id", "pos", "path")
+    direct = hits.repartition("video_id").groupBy("video_id").agg(F.min_by("path", "pos").alias("direct"))
     named = done.select(F.regexp_extract("path", r"source_(.+)_[^_/]*$", 1).alias("video_id"), "path", "modificationTime").where("video_id <> ''")
-    newest = named.groupBy("video_id").agg(F.max_by("path", F.struct("modificationTime", "path")).alias("newest"))
+    newest = named.repartition("video_id").groupBy("video_id").agg(F.max_by("path", F.struct("modificationTime", "path")).alias("newest"))
     return candidates.select("video_id").join(direct, "video_id", "left").join(newest, "video_id", "left").select("video_id", F.coalesce("direct", "newest").alias("path"))
 
 

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from cueflow.operators import joins as J
+from cueflow.operators import ranking as R
 from cueflow.operators import sequences as W
 from cueflow.plans import jobs as C
 from cueflow.plans.model import Model
@@ -253,3 +254,15 @@ def test_word_shares_count_once(spark):
     out = W.split_by_word_ratio(spark.createDataFrame(rows, "video_id string, clip_index int, window_id int, cues array<struct<cue_ord int, text string>>, translated string"))
     assert {r.cue_ord: r.part for r in out.collect()} == {0: "1 2 3 4", 1: "5", 2: "6 7", 3: "", 4: "x", 5: "p  q"}
     assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 3
+
+
+def test_common_paths_are_dealt_over_salts(spark, monkeypatch):
+    """A path that most videos name, there or not; repeated videos and files; no candidates at all."""
+    monkeypatch.setattr(R, "SPREAD", 10)
+    videos = [(f"v{i:03d}", ["/none.bin", "/all.webm" if i % 2 else f"/own_{i}.mkv"]) for i in range(80)] + [("v001", ["/none.bin"]), ("w", []), ("x", ["/a/source_x_1.mp4.mp4"])]
+    files = [(p, 1, t) for t, p in enumerate(["/all.mp4", "/all.mp4", "/own_4.mkv", "/m/source_v006_720.mp4", "/m/source_v006_best.webm", "/a/source_x_1.mp4", "/m/source_w_1.part"])]
+    ddl = spark.createDataFrame(files, "path string, length long, t long").withColumn("modificationTime", F.timestamp_seconds("t"))
+    got = R.resolve_artifact(spark.createDataFrame(videos, "video_id string, paths array<string>"), ddl).collect()
+    odd = {f"v{i:03d}": "/all.mp4" for i in range(1, 80, 2)}
+    known = odd | {"v004": "/own_4.mkv", "v006": "/m/source_v006_best.webm", "x": "/a/source_x_1.mp4"}
+    assert sorted((r.video_id, r.path) for r in got) == sorted(((v, known.get(v)) for v, _ in videos), key=lambda r: r[0])
