@@ -18,9 +18,9 @@ def with_merged_row(results: DataFrame, merged: DataFrame) -> DataFrame:
 
 def merge_only(results: DataFrame, merged: DataFrame) -> DataFrame:
     """Results without the clips that a successful merge took in."""
-    won = merged.where("status = 'Done'").select("video_id").distinct()
-    taken = results.where("status = 'Done' and output_path is not null").join(won, "video_id", "left_semi").select("video_id", "clip_index")
-    return results.join(taken, ["video_id", "clip_index"], "left_anti")
+    won = merged.where("status = 'Done'").select("video_id", F.lit(True).alias("_won")).distinct()
+    taken = (F.col("status") == "Done") & F.col("output_path").isNotNull() & F.col("_won")
+    return results.join(won, "video_id", "left").where(~F.coalesce(taken, F.lit(False))).drop("_won")
 
 
 def distinct_consecutive(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:

@@ -31,7 +31,7 @@ def _kept(cleaned: DataFrame) -> DataFrame:
     return cleaned.where("not cleaned.dropped").withColumn("text", F.col("cleaned.text")).drop("cleaned")
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: what reads it several times doesn't make it again."""
     folder = new_folder(df.sparkSession, name)
     df.write.parquet(folder)
@@ -44,7 +44,7 @@ def clean_corpus(cues: DataFrame) -> tuple[DataFrame, DataFrame]:
     The chain runs once: its result is stored, and both read it.  It costs far more than
     moving a cue, so cues are spread evenly first, whatever files or clips they come from.
     """
-    cleaned = _stored(_cleaned(cues.repartition(*CLIP, "cue_ord")), "cleaned")
+    cleaned = stored(_cleaned(cues.repartition(*CLIP, "cue_ord")), "cleaned")
     return _kept(cleaned), cleaning_totals(cleaned)
 
 
@@ -73,7 +73,7 @@ def subtitles(cues: DataFrame, clips: DataFrame, translate_fn: Callable[[str], s
     Cues travel with their windows, so nothing is joined back to them.  The windows are stored
     once: the distinct texts to translate and the rows that take the results read that table.
     """
-    windows = opener_lookup(_stored(subtitle_windows(cues, clips, bin_ms), "windows"))
+    windows = opener_lookup(stored(subtitle_windows(cues, clips, bin_ms), "windows"))
     spoken = translate_with(windows.select(*CLIP, "window_id", "cues", "opener", F.col("remainder").alias("text")), translate_fn, limits=limits)
     whole = spoken.withColumn("translated", apply_opener(F.col("opener"), F.coalesce("translated", F.lit(""))))
     timed = rebase_to_clip(split_by_word_ratio(whole))
@@ -112,10 +112,10 @@ def speaker_segments(frames: DataFrame, embeddings: DataFrame, pitch: DataFrame)
 
 def run_summary(results: DataFrame, excerpts: DataFrame, tracks: DataFrame, subtitles: DataFrame, dubs: DataFrame, keep_clips: bool = True) -> tuple[DataFrame, DataFrame]:
     """The summary table (merged outputs included) and the outcome counts."""
-    full = attach_artifacts(attach_excerpt(results, excerpts, tracks), subtitles, dubs)
     merged = merged_summary(results)
-    rows = full if keep_clips else merge_only(full, merged)
-    table = with_merged_row(rows, merged.drop("n_clips"))
+    rows = results if keep_clips else merge_only(results, merged)
+    full = attach_artifacts(attach_excerpt(rows, excerpts, tracks), subtitles, dubs)
+    table = with_merged_row(full, merged.drop("n_clips"))
     return summary_row(table), outcome_counts(results)
 
 

@@ -269,7 +269,7 @@ _SIZE = """CASE WHEN z IS NULL THEN '-' WHEN z < 1024 THEN z || ' B' WHEN z < 10
     body=f"""SELECT video_id, clip_index, file, CASE WHEN t IS NULL THEN '-' WHEN t >= 3600 THEN (t // 3600) || ':' || lpad((t // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((t % 60)::VARCHAR, 2, '0') ELSE lpad((t // 60)::VARCHAR, 2, '0') || ':' || lpad((t % 60)::VARCHAR, 2, '0') END AS duration,
     {_SIZE} AS size, CASE WHEN status = 'Done' THEN '✓ Done' ELSE '✗ Failed' END AS status_label, transcript FROM (SELECT *, round_even(d / 1000.0, 0)::BIGINT AS t FROM listed)"""))
 def c5(m: Model) -> DataFrame:
-    results = m.results()
+    results = C.stored(m.results(), "results")
     excerpts = results.select("video_id", "clip_index", F.when(F.col("clip_index") % 2 == 0, F.format_string("line %d", "clip_index")).otherwise("").alias("excerpt"))
     tracks = results.select("video_id", F.lit(False).alias("is_auto"), F.lit("en").alias("language")).distinct()
     none = results.limit(0).select("video_id", "clip_index", F.col("output_path").alias("path"))

@@ -266,3 +266,14 @@ def test_common_paths_are_dealt_over_salts(spark, monkeypatch):
     odd = {f"v{i:03d}": "/all.mp4" for i in range(1, 80, 2)}
     known = odd | {"v004": "/own_4.mkv", "v006": "/m/source_v006_best.webm", "x": "/a/source_x_1.mp4"}
     assert sorted((r.video_id, r.path) for r in got) == sorted(((v, known.get(v)) for v, _ in videos), key=lambda r: r[0])
+
+
+def test_merged_clips_go_by_one_join(spark):
+    """Results aren't joined with themselves; a failed clip, one without a path and other videos stay."""
+    from cueflow.operators.sets import merge_only
+
+    results = spark.createDataFrame([("a", 1, "Done", "/1"), ("a", 2, "Failed", None), ("a", 3, "Done", None), ("b", 1, "Done", "/2"), ("c", 1, "Done", "/3"), ("c", 2, None, "/4")], "video_id string, clip_index int, status string, output_path string")
+    merged = spark.createDataFrame([("a", "Done"), ("a", "Done"), ("b", "Failed"), ("c", "Done")], "video_id string, status string")
+    left = merge_only(results, merged)
+    assert {(r.video_id, r.clip_index) for r in left.collect()} == {("a", 2), ("a", 3), ("b", 1), ("c", 2)} and left.count() == 4
+    assert left._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
