@@ -12,6 +12,7 @@ from cueflow.llm.draws import communication_matrix, hypergeometric, permuted
 from cueflow.llm.lines import deduplicated_lines, without_repeated_lines
 from cueflow.llm.mixing import mixed, mixture
 from cueflow.llm.ngram_join import ngram_components, one_of_each_component
+from cueflow.llm import passages
 from cueflow.llm.passages import repeated_passages
 from cueflow.llm.quality import judged, quality_filter
 from cueflow.llm.sharding import document_shards, sharded
@@ -195,6 +196,33 @@ def test_two_changed_words_in_large_groups(spark):
     assert min(recall.values()) >= 0.9, recall
 
 
+def test_windows_left_over_meet_all_members(spark, monkeypatch):
+    """Pairs of near copies among many texts that share 45 of their 60 words, and so most minima, but aren't alike enough."""
+    monkeypatch.setattr(passages, "BLOCK", 8, raising=False)
+    rng = random.Random(23)
+    words = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    common, rows = words(45), []
+    for _ in range(40):
+        own = words(8) + common + words(7)
+        near = own[:30] + words(1) + own[31:]
+        rows += [(len(rows), " ".join(own)), (len(rows) + 1, " ".join(near))]
+    links = {(r.doc_id, p.partner) for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect() for p in r.passages}
+    found = {a for a, b in links if a // 2 == b // 2}
+    assert len(found) >= 0.9 * len(rows), len(found)
+
+
+def test_remaining_windows_meet_once(spark, monkeypatch):
+    """Every bare window meets every member of its key in another text, once, in blocks of any size."""
+    columns = "key long, f int, node long, l int, c int, r int"
+    members = [(1, 0, n, 0, 5, 60) for n in range(40)] + [(2, 1, n, 0, 5, 60) for n in range(3)]
+    bare = [m for m in members if m[2] % 3 == 0]
+    for block in (1, 7, 1024):
+        monkeypatch.setattr(passages, "BLOCK", block)
+        got = [(r.key, *sorted((r.a, r.b))) for r in passages._remaining(spark.createDataFrame(members, columns), spark.createDataFrame(bare, columns)).collect()]
+        want = {(m[0], *sorted((m[2], x[2]))) for m in members for x in bare if m[0] == x[0] and m[2] != x[2]}
+        assert sorted(got) == sorted(want), block
+
+
 def test_quality_statistics(documents, rows, clashing, nothing):
     want = Counter()
     for d, text, *_ in rows:
