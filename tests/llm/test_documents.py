@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cueflow.llm.decontamination import contaminated, decontaminated
@@ -211,6 +212,48 @@ def test_windows_left_over_meet_all_members(spark, monkeypatch):
     assert len(found) >= 0.9 * len(rows), len(found)
 
 
+def test_lines_in_common_leave_no_meetings(spark, monkeypatch):
+    """Windows around a line of 13 words that all texts have, and nothing else, hold no passage, so they meet nobody in the end."""
+    met, remaining = [], passages._remaining
+
+    def counted(members, bare):
+        out = remaining(members, bare)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(passages, "_remaining", counted)
+    rng = random.Random(31)
+    words = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    line = words(13)
+    rows = [(i, " ".join(words(30) + line + words(30))) for i in range(60)]
+    assert repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+    assert met == [0]
+
+
+def test_near_passages_share_a_sampled_run():
+    """Of words, of words repeated a dozen times and of sentences repeated: pairs of passages alike enough share a sample."""
+    rng = random.Random(37)
+    words = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    kinds, missed = (lambda: words(60), lambda: [w for w in words(6) for _ in range(rng.randint(6, 14))], lambda: words(14) * 5, lambda: words(120)), 0
+    tried = 0
+    while tried < 400:
+        own = kinds[tried % 4]()
+        near = list(own)
+        if tried % 4 == 1:
+            near = [w for w in dict.fromkeys(own) for _ in range(rng.randint(6, 14))]
+        for _ in range(1 + (len(own) > 100)):
+            if tried % 4 != 1 or rng.random() < 0.2:
+                near[rng.randrange(len(near))] = words(1)[0]
+        texts = [passages._shingles(" ".join(words(20) + x + words(20))) for x in (own, near)]
+        whole = [set(passages._shingles(" ".join(x)).tolist()) for x in (own, near)]
+        if min(len(own), len(near)) < 50 or 100 * len(whole[0] & whole[1]) < passages.PERCENT * len(whole[0] | whole[1]):
+            continue
+        tried += 1
+        first, second = (set(passages.run_samples(x, np.array([0, len(x)]))[0].tolist()) for x in texts)
+        missed += not first & second
+    assert missed == 0
+
+
 def test_remaining_windows_meet_once(spark, monkeypatch):
     """Every bare window meets every member of its key in another text, once, in blocks of any size."""
     columns = "key long, f int, node long, l int, c int, r int"
