@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueflow.llm import wordhash
-from cueflow.llm.shared import connected_components, scratch, stored
+from cueflow.llm.shared import connected_components, maybe_among, scratch, stored
 from cueflow.llm.stars import bucket_links, near_parity
 
 #: The pool's part of the fingerprint range, as a multiple of (1 - threshold).
@@ -235,8 +235,8 @@ def ngram_links(documents: DataFrame, k: int = 3, percent: int = 90) -> tuple[Da
     star = stored(star.unionByName(inside).distinct(), "star")
     busy = postings.select("g").unionByName(members.where("g <> node").select("g")).distinct()
     wanted = members.join(busy, "g", "left_semi").select("node")
-    copies = classes.join(wanted, "node", "left_semi").select("node", "copy.*").withColumnRenamed("doc_id", "id")
-    texts = source.join(copies, "text_hash").where("doc_id <=> id").dropDuplicates(["node"]).select("node", "text")
+    copies = stored(classes.join(wanted, "node", "left_semi").select("node", "copy.*").withColumnRenamed("doc_id", "id"), "copies")
+    texts = maybe_among(source, "text_hash", copies.select("text_hash")).join(copies, "text_hash").where("doc_id <=> id").dropDuplicates(["node"]).select("node", "text")
     sets = stored(texts.mapInArrow(_set_blobs(k), "node long, items binary"), "sets")
     links = stored(_verified(star, sets, percent), "links")
 
@@ -249,13 +249,17 @@ def ngram_links(documents: DataFrame, k: int = 3, percent: int = 90) -> tuple[Da
     by_group = mixed.where("low <> high").select(F.xxhash64("g", F.lit("group")).alias("bucket"), "g")
     rows = stored(by_token.unionByName(by_group).join(members.select("g", F.col("node").alias("x")), "g").select("bucket", "x"), "buckets")
     wanted = stored(rows.select(F.col("x").alias("node")).distinct(), "apart")
-    left = stored(sets.join(wanted, "node", "left_semi"), "apart-sets")
     marks = stored(_renamed(members.join(wanted, "node").join(classes.select("node", "parity"), "node"), node="x", n="n", parity="parity"), "marks")
 
+    def asked(pairs: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame]:
+        """The pairs, stored, and the sets that they need, with a few others."""
+        pairs = stored(pairs, "asked")
+        return pairs, maybe_among(sets, "node", pairs.select(F.col(a).alias("node")).unionByName(pairs.select(F.col(b).alias("node"))))
+
     def verified(pairs: DataFrame) -> DataFrame:
-        return _verified(near_parity(pairs.join(star, ["a", "b"], "left_anti"), marks, percent, WORDS), left, percent)
+        return _verified(*asked(near_parity(pairs.join(star, ["a", "b"], "left_anti"), marks, percent, WORDS), "a", "b"), percent)
 
-    links = bucket_links(rows, links, verified, lambda pairs: _deltas(pairs, left), percent, found)
+    links = bucket_links(rows, links, verified, lambda pairs: _deltas(*asked(pairs, "c", "x")), percent, found)
     return nodes, connected_components(links)
 
 
