@@ -264,6 +264,40 @@ def test_near_passages_share_a_sampled_run():
     assert missed == 0
 
 
+def test_equal_runs_around_covered_minima(spark):
+    """Texts that share a passage of 50 words with many texts, and it with 20 words more with one: all 70 words are covered."""
+    rng = random.Random(41)
+    words = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    rows, pairs = [], []
+    for _ in range(12):
+        common = words(50)
+        rows += [(len(rows) + i, " ".join(words(60) + common + words(60))) for i in range(20)]
+        for _ in range(8):
+            own = common + words(20)
+            pairs += [len(rows), len(rows) + 1]
+            rows += [(len(rows) + i, " ".join(words(60) + own + words(60))) for i in range(2)]
+    out = {r.doc_id: {j for p in r.passages for j in range(p.first, p.last)} for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i in pairs if not set(range(60, 130)) <= out[i]] == []
+
+
+def test_functions_of_small_and_large_groups_agree(spark):
+    """Near copies of 64 words, 30 of which many texts have: functions of large and small groups agree, and the densest part alone is too short."""
+    rng = random.Random(43)
+    words = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    line = words(30)
+    rows = [(i, " ".join(words(60) + line + words(60))) for i in range(60)]
+    pairs = []
+    for _ in range(150):
+        own = words(17) + line + words(17)
+        near = list(own)
+        near[rng.choice((14, 49))] = words(1)[0]
+        pairs.append(len(rows))
+        rows += [(len(rows), " ".join(words(60) + own + words(60))), (len(rows) + 1, " ".join(words(60) + near + words(60)))]
+    found = {r.doc_id for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    missed = [i for i in pairs if i not in found]
+    assert len(missed) <= 0.05 * len(pairs), len(missed)
+
+
 def test_remaining_windows_meet_once(spark, monkeypatch):
     """Every bare window meets every member of its key in another text, once, in blocks of any size."""
     columns = "key long, f int, node long, l int, c int, r int"
