@@ -370,7 +370,7 @@ def s6_files(m: Model) -> DataFrame:
     """Subtitle files written and read back."""
     folder = new_folder(m.spark, "srt")
     write_srt(m.whole_clip().select("video_id", "clip_index", "cue_ord", F.col("start_ms").alias("rel_start_ms"), F.col("end_ms").alias("rel_end_ms"), F.col("text").alias("translated")), folder)
-    return m.spark.read.text(folder, wholetext=True).select(F.col("video_id").cast("string").alias("video_id"), F.col("value").alias("srt"))
+    return S.whole_texts(m.spark, folder).select(F.col("video_id").cast("string").alias("video_id"), F.col("value").alias("srt"))
 
 
 _EMB = "pairs AS (SELECT a.video_id, a.utt_id, a.cluster_id, b.cluster_id AS oc, 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embedded a JOIN embedded b ON a.video_id = b.video_id AND a.utt_id <> b.utt_id)"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cueflow.functions.text import strip_tags
 from cueflow.functions.times import VTT_STAMP, stamp_ms, strip
 from cueflow.operators.ranking import first_per
+from cueflow.sources.folders import few_listing_tasks
 
 VIDEO_INFO = (
     "id STRING, language STRING, height INT, subtitles MAP<STRING,ARRAY<STRUCT<ext:STRING,url:STRING>>>, "
@@ -34,9 +35,15 @@ def parse_captions(files: DataFrame) -> DataFrame:
     return cues.where(F.col("text") != "")
 
 
+def whole_texts(spark: SparkSession, glob: str) -> DataFrame:
+    """``value`` of whole text files, and the keys that their folders name."""
+    with few_listing_tasks(spark):
+        return spark.read.text(glob, wholetext=True)
+
+
 def caption_texts(spark: SparkSession, glob: str) -> DataFrame:
     """file_name and value of whole caption files, named by themselves or by a folder ``file_name=``."""
-    files = spark.read.text(glob, wholetext=True)
+    files = whole_texts(spark, glob)
     name = F.col("file_name" if "file_name" in files.columns else "_metadata.file_name")
     return files.select(name.cast("string").alias("file_name"), "value")
 

@@ -138,3 +138,35 @@ def test_files_are_written_by_several_tasks(spark, tmp_path):
     write_captions(spark.createDataFrame([(f"transcript_{i}.manual.en.vtt", "WEBVTT") for i in range(40)], "file_name string, value string"), str(tmp_path / "files"))
     written = list((tmp_path / "files").rglob("part-*"))
     assert len(written) == 40 and len({p.name.split("-")[1] for p in written}) > 1
+
+
+def test_files_are_written_as_spark_writes_them(spark, tmp_path):
+    """Files that tasks write themselves have the folders and texts of Spark's own writer, and no checksums beside them."""
+    from cueflow.sources.writers import write_texts
+
+    keys = ["a", "b c", "x/y", "50%", "q?*:=#'\"{[]^}\\", "é ü", "\x01\x7f", "", None, "__x", ".h"]
+    rows = [(k, i % 2, t) for i, k in enumerate(keys) for t in ("one\ntwo", "", None)]
+    texts = spark.createDataFrame(rows, "k string, n int, value string")
+    for _ in range(2):
+        write_texts(texts, str(tmp_path / "own"), "k", "n")
+    texts.repartition(1, "k", "n").write.partitionBy("k", "n").option("lineSep", "\n").text(str(tmp_path / "spark"))
+    found = {name: {str(p.parent.relative_to(tmp_path / name)): sorted(p.read_text().split("\n")) for p in (tmp_path / name).rglob("part-*.txt")} for name in ("own", "spark")}
+    assert found["own"] == found["spark"]
+    assert not [p for p in (tmp_path / "own").rglob("*") if p.is_file() and not p.name.startswith(("part-", "_SUCCESS"))]
+    assert (tmp_path / "own" / "_SUCCESS").exists()
+
+
+def test_folders_are_listed_by_few_tasks(spark, tmp_path):
+    """Each folder was a task of the listing job; the session keeps its own setting."""
+    from cueflow.sources.writers import write_captions
+
+    write_captions(spark.createDataFrame([(f"transcript_{i}.manual.en.vtt", "WEBVTT") for i in range(80)], "file_name string, value string"), str(tmp_path / "files"))
+    before, status = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism"), spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        assert S.caption_texts(spark, str(tmp_path / "files")).count() == 80
+        tasks = [status.getStageInfo(k).numTasks for job in status.getJobIdsForGroup("listing") for k in status.getJobInfo(job).stageIds if status.getStageInfo(k)]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert tasks and max(tasks) < 40
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
