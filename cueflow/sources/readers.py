@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cueflow.functions.text import strip_tags
@@ -63,8 +63,11 @@ def first_caption_files(cues: DataFrame) -> DataFrame:
 
 def read_captions(spark: SparkSession, glob: str) -> DataFrame:
     """video_id, language, is_auto, cue_ord, start_ms, end_ms, text of each video's caption file."""
-    cues = parse_captions(caption_texts(spark, glob))
-    return cues.join(first_caption_files(cues), "file_name").drop("file_name")
+    cues = caption_file_keys(parse_captions(caption_texts(spark, glob)))
+    # Files are read once: the cues of a video say which of its files comes first.
+    file = F.struct("is_auto", "file_name")
+    first = F.min(file).over(Window.partitionBy("video_id"))
+    return cues.withColumn("first", first).where(file == F.col("first")).drop("first", "file_name")
 
 
 def read_video_info(spark: SparkSession, path: str) -> DataFrame:

@@ -170,3 +170,13 @@ def test_folders_are_listed_by_few_tasks(spark, tmp_path):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert tasks and max(tasks) < 40
     assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
+
+
+def test_caption_files_are_read_once(spark, tmp_path):
+    """A video's first file that holds cues is known from the cues, not from a second reading of all files."""
+    cue = "WEBVTT\n\n00:00:01.000 --> 00:00:02.000\n{}\n"
+    for name, text in (("a.manual.en", ""), ("a.auto.vi", "x"), ("b.manual.fr", "y"), ("b.manual.en", "z"), ("b.auto.vi", "w")):
+        (tmp_path / f"transcript_{name}.vtt").write_text(cue.format(text) if text else "WEBVTT\n")
+    read = S.read_captions(spark, str(tmp_path))
+    assert {(r.video_id, r.language, r.is_auto, r.text) for r in read.collect()} == {("a", "vi", True, "x"), ("b", "en", False, "z")}
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
