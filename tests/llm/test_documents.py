@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cueflow.llm.decontamination import contaminated, decontaminated
@@ -298,6 +299,19 @@ def test_functions_of_small_and_large_groups_agree(spark):
     assert len(missed) <= 0.05 * len(pairs), len(missed)
 
 
+def test_partners_are_shingled_once(monkeypatch):
+    """A partner that comes again with another text isn't cut into shingles again."""
+    calls, shingled = [], passages._shingles
+    monkeypatch.setattr(passages, "_shingles", lambda text: calls.append(text) or shingled(text))
+    text = " ".join(f"w{i}" for i in range(60))
+    hits = [{"f": f, "la": 0, "ca": 20, "ra": 55, "lb": 0, "cb": 20, "rb": 55} for f in range(2)]
+    kinds = pa.list_(pa.struct([(x, pa.int32()) for x in ("f", "la", "ca", "ra", "lb", "cb", "rb")]))
+    columns = [pa.array([1, 2, 3]), pa.array([9, 9, 9]), pa.array([text] * 3), pa.array([text] * 3), pa.array([hits] * 3, kinds)]
+    found = [r for b in passages._check(iter([pa.RecordBatch.from_arrays(columns, names=["a", "b", "text_a", "text_b", "hits"])])) for r in b.to_pylist()]
+    assert {(r["node"], r["first"], r["last"], r["partner"]) for r in found} == {(a, 0, 60, 9) for a in (1, 2, 3)} | {(9, 0, 60, a) for a in (1, 2, 3)}
+    assert len(calls) == 4
+
+
 def test_remaining_windows_meet_once(spark, monkeypatch):
     """Every bare window meets every member of its key in another text, once, in blocks of any size."""
     columns = "key long, f int, node long, l int, c int, r int"
